@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import mixing
+from quorix.session import ship
 
-QUERIES = {
+from . import mixing, rules, warc
+
+
+def _shipped(query):
+    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
+
+QUERIES = {name: _shipped(query) for name, query in {
+    "op5_quality_rules": rules.query,
     "op6_mix_sources": mixing.query,
-}
+    "op9_warc_revisits": warc.query,
+}.items()}
 
 ORACLES = {
     "op6_mix_sources": mixing.SQL,
+    "op9_warc_revisits": warc.SQL,
 }
