@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import mixing, rules, warc
+from . import jaccard, mixing, rules, warc
 
 
 def _shipped(query):
@@ -15,6 +15,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op5_quality_rules": rules.query,
     "op6_mix_sources": mixing.query,
     "op9_warc_revisits": warc.query,
+    "op10_jaccard_join": jaccard.query,
 }.items()}
 
 ORACLES = {
