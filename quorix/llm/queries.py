@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import jaccard, mixing, rules, warc
+from . import jaccard, mixing, rules, suffixes, warc
 
 
 def _shipped(query):
@@ -12,6 +12,7 @@ def _shipped(query):
 
 
 QUERIES = {name: _shipped(query) for name, query in {
+    "op4_suffix_dedup": suffixes.query,
     "op5_quality_rules": rules.query,
     "op6_mix_sources": mixing.query,
     "op9_warc_revisits": warc.query,
