@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import jaccard, mixing, rules, suffixes, warc
+from . import jaccard, mixing, rules, suffixes, tokens, warc
 
 
 def _shipped(query):
@@ -15,6 +15,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op4_suffix_dedup": suffixes.query,
     "op5_quality_rules": rules.query,
     "op6_mix_sources": mixing.query,
+    "op8_token_counts": tokens.query,
     "op9_warc_revisits": warc.query,
     "op10_jaccard_join": jaccard.query,
 }.items()}
