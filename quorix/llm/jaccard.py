@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .blocks import bucket_slices, planes, unplanes
 from .graph import components
 
 BLOCK_BYTES = 12 << 20
@@ -86,18 +87,6 @@ def set_id(shingles: np.ndarray) -> int:
     return int(common.mix64(total).view(np.int64)[0])
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    """The high `width` bytes of sorted hashes, one plane after the other, which packs well."""
-    raw = values.byteswap().view(np.uint8).reshape(-1, 8)[:, :width]
-    return np.ascontiguousarray(raw.T).tobytes()
-
-
-def _unplanes(blob: bytes, n: int, width: int) -> np.ndarray:
-    raw = np.zeros((n, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(blob, np.uint8, n * width).reshape(width, n).T
-    return raw.view(np.uint64).ravel().byteswap()
-
-
 _SENT = pa.schema([("q", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("blob", pa.binary())])
 
 
@@ -124,12 +113,9 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, width: int, shingle:
             owner = np.repeat(np.array(own, np.uint32), [len(sets[i]) for i in own])
             order = np.argsort(values)
             values, owner = values[order], owner[order]
-            # Buckets are ranges of the hash, so that a bucket's hashes agree in their high bits.
-            cuts = np.searchsorted(values, np.array([(q << 64) // buckets for q in range(1, buckets)], np.uint64))
-            for q, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(values)], strict=True)):
-                if b > a:
-                    ids_blob = owner[a:b].astype(np.uint16 if len(ids) <= 0xFFFF else np.uint32).tobytes()
-                    rows.append((q, block, int(b - a), _planes(values[a:b], width) + ids_blob))
+            for q, a, b in bucket_slices(values, buckets):
+                ids_blob = owner[a:b].astype(np.uint16 if len(ids) <= 0xFFFF else np.uint32).tobytes()
+                rows.append((q, block, b - a, planes(values[a:b], width) + ids_blob))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
     ids, sets, held = [], [], 0
@@ -155,7 +141,7 @@ def _answer(key, table: pa.Table, width: int) -> pa.Table:
     blocks, counts, blobs = table["block"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist()
     if key[0].as_py() < 0:
         return pa.table([blocks, blobs, [True] * len(blocks)], schema=_ANSWER)
-    values = np.concatenate([_unplanes(b, n, width) for b, n in zip(blobs, counts, strict=True)])
+    values = np.concatenate([unplanes(b, n, width) for b, n in zip(blobs, counts, strict=True)])
     owners = [np.frombuffer(b[n * width :], np.uint16 if len(b) - n * width == 2 * n else np.uint32) for b, n in zip(blobs, counts, strict=True)]
     order = np.argsort(values, kind="stable")
     ranked = values[order]

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .blocks import MAIL, bucket_slices, deal, in_order, mail, planes, unplanes
 
 #: A perfect difference set modulo 31.
 MODULUS, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -157,13 +157,7 @@ class Block:
 
     def __init__(self, table: pa.Table, id_name: str, text_name: str, length: int):
         self.length = length
-        ids = table[id_name].cast(pa.int64()).to_numpy(zero_copy_only=False) if not table[id_name].null_count else table[id_name].cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
-        if len(ids) > 1 and (np.diff(ids[order]) == 0).any():
-            texts = table[text_name].to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], (texts[i] or "").encode())), np.int64)
-        self.table = table.take(pa.array(order))
-        self.ids = ids[order].astype(np.int64)
+        self.table, self.ids = in_order(table, id_name, text_name)
         self.data, self.offsets = common.binary_column(self.table[text_name])
         found = [self._segments(*p) for p in self._pieces()]
         a, n, h, d = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else ((),) * 4, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
@@ -207,11 +201,6 @@ class Block:
 
     # what the block sends and reads
 
-    def slices(self, keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-        """(bucket, from, to) of sorted keys; a bucket is a range of keys."""
-        cuts = np.searchsorted(keys, np.array([(q << 64) // buckets for q in range(1, buckets)], np.uint64))
-        return [(q, int(a), int(b)) for q, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if b > a]
-
     def names(self, buckets: int) -> list[tuple[int, int, bytes]]:
         """For each bucket the grams of the block, with digest, first document and number of differing segments."""
         if not len(self.start):
@@ -221,7 +210,7 @@ class Block:
         least = np.minimum.reduceat(self.start, self.gram_first)
         doc = self.ids[self.doc_of(least)]
         digest = self.digest[self.gram_first]
-        return [(q, b - a, _planes(gram[a:b], H_BYTES) + variants[a:b].tobytes() + digest[a:b].tobytes() + doc[a:b].tobytes()) for q, a, b in self.slices(gram, buckets)]
+        return [(q, b - a, planes(gram[a:b], H_BYTES) + variants[a:b].tobytes() + digest[a:b].tobytes() + doc[a:b].tobytes()) for q, a, b in bucket_slices(gram, buckets)]
 
     def items(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What goes to the sort: key, start, count of each item; and for windows of hot grams their item and place."""
@@ -249,7 +238,7 @@ class Block:
     def parcels(self, codes: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
         keys, starts, sizes, _, _ = self.items(codes)
         out = []
-        for q, a, b in self.slices(keys, buckets) if len(keys) else []:
+        for q, a, b in bucket_slices(keys, buckets):
             s, n = starts[a:b], sizes[a:b]
             doc = self.doc_of(s)
             width = n + self.length - 1
@@ -291,26 +280,12 @@ def _hash_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.byteswap().view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-_MAIL = pa.schema([("q", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
-MAIL = "q int, p int, n int, blob binary"
-
-
-def _mail(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MAIL, strict=True)] if rows else [[], [], [], []], schema=_MAIL)
-
-
 def _compare_names(table: pa.Table) -> pa.Table:
     """Names of all blocks for one bucket -> a code for each: 0 stays, 1 wholly repeats, 2 to be sorted, 3 hot."""
     q, p, n, blobs = (table[c].to_pylist() for c in ("q", "p", "n", "blob"))
     grams, variants, digests, docs = [], [], [], []
     for k, blob in zip(n, blobs, strict=True):
-        raw = np.zeros((k, 8), np.uint8)
-        raw[:, :H_BYTES] = np.frombuffer(blob, np.uint8, k * H_BYTES).reshape(H_BYTES, k).T
-        grams.append(raw.view(np.uint64).ravel().byteswap())
+        grams.append(unplanes(blob, k, H_BYTES))
         rest = blob[k * H_BYTES :]
         variants.append(np.frombuffer(rest, np.uint16, k))
         digests.append(np.frombuffer(rest, np.uint64, k, 2 * k))
@@ -326,7 +301,7 @@ def _compare_names(table: pa.Table) -> pa.Table:
     out = np.empty(len(code), np.uint8)
     out[order] = code
     parts = np.split(out, np.cumsum(n)[:-1])
-    return _mail([(b, c, k, x.tobytes()) for b, c, k, x in zip(q, p, n, parts, strict=True)])
+    return mail([(b, c, k, x.tobytes()) for b, c, k, x in zip(q, p, n, parts, strict=True)])
 
 
 def _sort_parcels(table: pa.Table, length: int) -> pa.Table:
@@ -352,15 +327,15 @@ def _sort_parcels(table: pa.Table, length: int) -> pa.Table:
     again[order[1:]] = ranked[1:] == ranked[:-1]
     per_block = [int(s.sum()) for s in sizes]
     parts = np.split(again, np.cumsum(per_block)[:-1])
-    return _mail([(b, c, len(x), np.packbits(x).tobytes()) for b, c, x in zip(q, p, parts, strict=True)])
+    return mail([(b, c, len(x), np.packbits(x).tobytes()) for b, c, x in zip(q, p, parts, strict=True)])
 
 
-def _joined(mail: pa.Table, want: int) -> dict[int, tuple[int, bytes]]:
-    return {q: (n, blob) for q, n, blob in zip(*(mail[c].to_pylist() for c in ("q", "n", "blob")), strict=True) if (q < 0) == (want < 0)}
+def _joined(answers: pa.Table, want: int) -> dict[int, tuple[int, bytes]]:
+    return {q: (n, blob) for q, n, blob in zip(*(answers[c].to_pylist() for c in ("q", "n", "blob")), strict=True) if (q < 0) == (want < 0)}
 
 
-def _codes(mail: dict[int, tuple[int, bytes]]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(mail[q][1], np.uint8) for q in sorted(mail)]) if mail else np.empty(0, np.uint8)
+def _codes(answers: dict[int, tuple[int, bytes]]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(answers[q][1], np.uint8) for q in sorted(answers)]) if answers else np.empty(0, np.uint8)
 
 
 def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest_only: bool) -> pa.Table:
@@ -386,33 +361,29 @@ def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest
 def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, schema) -> DataFrame:
     if length < DEPTH + TIE:
         raise ValueError(f"length is at least {DEPTH + TIE}")
-    spark = docs.sparkSession
-    blocks = common.blocks_for(common.text_bytes(docs, text), spark, 8 << 20)
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))))
-    dealt = docs.withColumn("_p", F.pmod(key, F.lit(blocks)).cast("int"))
-    buckets = blocks
+    dealt, buckets = deal(docs, doc_id, text)
 
     def build(table: pa.Table) -> Block:
         return Block(table.drop_columns(["_p"]), doc_id, text, length)
 
     def say_names(key, table):
         p = key[0].as_py()
-        return _mail([(q, p, n, blob) for q, n, blob in build(table).names(buckets)])
+        return mail([(q, p, n, blob) for q, n, blob in build(table).names(buckets)])
 
-    def say_parcels(key, table, mail):
+    def say_parcels(key, table, answers):
         if not table.num_rows:
-            return _mail([])
-        p = (key[0] if key[0].is_valid else mail["p"][0]).as_py()
-        codes = _codes(_joined(mail, 0))
+            return mail([])
+        p = (key[0] if key[0].is_valid else answers["p"][0]).as_py()
+        codes = _codes(_joined(answers, 0))
         # The codes go along, under a bucket of their own, for the last step.
-        return _mail([(-1 - p, p, len(codes), codes.tobytes())] + [(q, p, n, blob) for q, n, blob in build(table).parcels(codes, buckets)])
+        return mail([(-1 - p, p, len(codes), codes.tobytes())] + [(q, p, n, blob) for q, n, blob in build(table).parcels(codes, buckets)])
 
     def sort(key, table):
         return table.select(["q", "p", "n", "blob"]) if key[0].as_py() < 0 else _sort_parcels(table, length)
 
-    def finish(key, table, mail):
-        codes = _codes(_joined(mail, -1))
-        bits = _joined(mail, 0)
+    def finish(key, table, answers):
+        codes = _codes(_joined(answers, -1))
+        bits = _joined(answers, 0)
         flags = [np.unpackbits(np.frombuffer(bits[q][1], np.uint8), count=bits[q][0]).astype(bool) for q in sorted(bits)]
         block = build(table)
         gone = block.removed(codes, np.concatenate(flags) if flags else np.empty(0, bool))
