@@ -1,6 +1,6 @@
 """WARC archives: payload digests, revisit resolution, writing and reading back.
 
-Records are written through Spark's text writer, one record a row with CRLF CRLF as the line end, so any
+Records are written through Spark's text writer, gzipped, one record a row with CRLF CRLF as the line end, so any
 Hadoop file system works and the commit protocol keeps the files whole when a task is run again. Reading
 takes whole archives (their size is bounded when they are written) and walks them by Content-Length.
 
@@ -16,6 +16,7 @@ leaves out the target header and control characters in a URL are percent-encoded
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -77,15 +78,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     """Deduplicated archives of about archive_bytes each under path, one record a row of pages."""
     spark = pages.sparkSession
     keyed = _keyed(pages, page_id, url, html)
-    verdicts = resolve_revisits(keyed.select("page_id", "digest", "n"), least_bytes).select(
-        F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to"
-    )
+    # A key without nulls, so that the join uses the partitions that the pages are placed in.
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    verdicts = resolve_revisits(keyed.select("page_id", "digest", "n"), least_bytes).select(name.alias("_id"), "digest", "refers_to")
     total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
     files = max(common.n_partitions(spark), -(-int(total) // archive_bytes))
     # One shuffle of the pages by id places them, joins the verdict and sets the size of the archives.
-    placed = keyed.repartition(files, "page_id", "digest")
-    joined = placed.join(verdicts, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    joined.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).mode("errorifexists").text(path)
+    placed = keyed.withColumn("_id", name).repartition(files, "_id", "digest")
+    joined = placed.join(verdicts, ["_id", "digest"])
+    joined.select(_record(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").mode("errorifexists").text(path)
 
 
 def _header(block: bytes) -> dict[bytes, bytes]:
@@ -125,7 +126,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64())])
     for batch in batches:
         for content in batch.column(0):
-            rows = list(parse_archive(content.as_py()))
+            rows = list(parse_archive(gzip.decompress(content.as_py())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
