@@ -14,9 +14,9 @@ parts at most k <= min(n/3, (n+u-1)/7) differ between a node of size n and its p
 are equal. A node whose empty parts are fewer than that shares a filled part, its signature, with each partner. If
 both sides have more empty parts (tiny sets), they meet by single shingles instead. So no link is lost.
 
-Verification. All members of a signature are compared with one pivot, the member with the largest share of
+Verification. The members of a signature are compared with one pivot, the member with the largest share of
 repeated shingles (the likely origin of its copies), and links become components. Then what is left: members of
-one signature in different components, with another pivot, and at last all pairs of them not compared before.
+one signature in different components, with four other pivots, and at last all pairs of them not compared before.
 
 Cases: null, empty or blank text has size 0 and is its own component; under 5 words the whole sequence is the
 shingle; repeated rows and ids meet as equal sets; null ids are kept and never name a component that has another
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .blocks import bucket_slices, planes, unplanes
+from .blocks import MAIL, bucket_slices, mail, planes, unplanes
 from .graph import components
 
 BLOCK_BYTES = 12 << 20
@@ -184,9 +184,17 @@ def document_nodes(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", te
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(text, node, share) -> (node, share, shingles) of the texts whose set is the node, each once a task."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1), shingle))
-        yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles"])
+        keep, blobs = [], []
+        for i, (node, s) in enumerate(zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0), shingle), strict=True)):
+            if node not in seen and set_id(s) == node:
+                seen.add(node)
+                keep.append(i)
+                blobs.append(s.tobytes())
+        kept = batch.take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), pa.array(blobs, pa.binary())], names=["node", "share", "shingles"])
 
 
 @functools.cache
@@ -215,17 +223,74 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_signatures(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(node, share, comp, shingles) -> messages to buckets: signatures and, for each, which node has it."""
+
+    def flush(nodes, shares, comps, made):
+        values = np.concatenate(made)
+        owner = np.repeat(np.arange(len(made), dtype=np.uint32), [len(m) for m in made])
+        order = np.argsort(values)
+        values, owner = values[order], owner[order]
+        head = np.array(nodes, np.int64).tobytes() + np.array(comps, np.int64).tobytes() + np.array(shares, np.int64).tobytes()
+        rows = [(q, len(nodes), b - a, head + planes(values[a:b], 8) + owner[a:b].astype(np.uint16).tobytes()) for q, a, b in bucket_slices(values, buckets)]
+        return mail(rows).to_batches()
+
+    nodes, shares, comps, made, held = [], [], [], [], 0
     for batch in batches:
-        nodes, common_share, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        for first in range(0, len(nodes), 256):
-            made = [signatures(np.frombuffer(b.as_py(), np.uint64)) for b in blobs[first : first + 256]]
-            if made:
-                lengths = [len(m) for m in made]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(np.array(nodes[first : first + 256], np.int64), lengths)),
-                    pa.array(np.repeat(np.array(common_share[first : first + 256], np.int32), lengths)),
-                ], names=["sig", "node", "share"])
+        for node, share, comp, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            nodes.append(node)
+            shares.append(share)
+            comps.append(comp)
+            made.append(signatures(np.frombuffer(blob, np.uint64)))
+            held += len(made[-1])
+            if held > 1 << 20 or len(nodes) == 1 << 16:
+                yield from flush(nodes, shares, comps, made)
+                nodes, shares, comps, made, held = [], [], [], [], 0
+    if made:
+        yield from flush(nodes, shares, comps, made)
+
+
+_PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("c", pa.int64())])
+
+
+def _bucket_pairs(table: pa.Table, pivots: int, seed: int) -> pa.Table:
+    """Signatures of one bucket -> pairs (pivot, member, signatures shared here) whose components differ.
+
+    A group has up to `pivots` pivots: for seed 0 the nodes with the largest share, else by hash; 0: all are.
+    """
+    sig, node, comp, share = [], [], [], []
+    for k, n, blob in zip(table["p"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        head = np.frombuffer(blob, np.int64, 3 * k).reshape(3, k)
+        rest = blob[24 * k :]
+        owner = np.frombuffer(rest, np.uint16, n, 8 * n)
+        sig.append(unplanes(rest, n, 8))
+        node.append(head[0][owner])
+        comp.append(head[1][owner])
+        share.append(head[2][owner])
+    sig, node, comp, share = (np.concatenate(x) for x in (sig, node, comp, share))
+    rank = -share if seed == 0 else common.mix64(node.view(np.uint64) + np.uint64(seed)).view(np.int64)
+    order = np.lexsort((node, rank, sig))
+    sig, node, comp = sig[order], node[order], comp[order]
+    first = np.r_[True, sig[1:] != sig[:-1]]
+    start = np.flatnonzero(first)
+    group = np.cumsum(first) - 1
+    size = np.diff(np.r_[start, len(sig)])
+    mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+    live = mixed[group]
+    u, v = [], []
+    for k in range(min(pivots or 1 << 62, int(size[mixed].max()) if mixed.any() else 0)):
+        # The k-th of each group against all behind it.
+        has = live & (size[group] > k)
+        at = np.flatnonzero(has & (np.arange(len(sig)) - start[group] > k))
+        pivot = start[group[at]] + k
+        other = comp[at] != comp[pivot]
+        u.append(node[pivot[other]])
+        v.append(node[at[other]])
+    if not u:
+        return _PAIRS.empty_table()
+    pairs = np.stack([np.concatenate(u), np.concatenate(v)])
+    pairs, count = np.unique(pairs, axis=1, return_counts=True)
+    return pa.table([pairs[0], pairs[1], count], schema=_PAIRS)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,53 +310,55 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
-
-
-def _pivot_pairs(members: DataFrame, rank) -> DataFrame:
-    """Members of each signature with its pivot, the first by rank; members: sig, node, comp and what rank needs."""
-    pivots = members.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "node", "comp")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    joined = members.join(pivots.select("sig", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pcomp")), "sig")
-    return joined.where("node <> pivot and comp <> pcomp").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-
-
-def _with_components(signed: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = signed.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left")
-    return joined.select("sig", "node", "share", F.coalesce("comp", "node").alias("comp"))
-
-
-def node_components(sets: DataFrame) -> DataFrame:
-    """sets (node, n, shingles, share) -> (node, comp) of the nodes that have a link."""
-    signed = sets.select("node", "share", "shingles").mapInArrow(_signed, "sig long, node long, share int")
-    # Only signatures of two nodes or more say anything.
-    shared = signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig")
-    signed = common.cut(signed.join(shared, "sig", "left_semi"))
-    members = signed.withColumn("comp", F.col("node"))
-    pairs = common.cut(_pivot_pairs(members, -F.col("share")))
-    links = common.cut(_linked(pairs, sets))
-    labels = common.cut(components(links))
-    for last in (False, True):
-        members = _with_components(signed, labels)
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        rest = common.cut(members.join(mixed, "sig", "left_semi"))
-        if last:
-            a, b = rest.select("sig", F.col("node").alias("u"), F.col("comp").alias("cu")), rest.select("sig", F.col("node").alias("v"), F.col("comp").alias("cv"))
-            fresh = a.join(b, "sig").where("cu < cv").select("u", "v").distinct()
-        else:
-            fresh = _pivot_pairs(rest, F.xxhash64("node"))
-        tested = pairs.select(F.least("u", "v").alias("tu"), F.greatest("u", "v").alias("tv"))
-        fresh = common.cut(fresh.join(tested, (F.least("u", "v") == F.col("tu")) & (F.greatest("u", "v") == F.col("tv")), "left_anti"))
-        if not fresh.take(1):
-            if last:
-                break
-            continue
-        found = common.cut(_linked(fresh, sets))
-        pairs = pairs.union(fresh)
-        if found.take(1):
-            links = links.union(found)
-            labels = common.cut(components(links))
+    # Both joins read one shuffle of the sets.
+    own = sets.select("node", "shingles")
+    a, b = own.toDF("u", "a"), own.toDF("v", "b")
+    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+
+
+def _signature_pairs(sets: DataFrame, labels: DataFrame | None, buckets: int, pivots: int, seed: int) -> DataFrame:
+    if labels is None:
+        named = sets.withColumn("comp", F.col("node"))
+    else:
+        named = sets.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node"))
+    sent = named.select("node", "share", "comp", "shingles").mapInArrow(functools.partial(_pack_signatures, buckets=buckets), MAIL)
+    found = sent.groupBy("q").applyInArrow(lambda key, table: _bucket_pairs(table, pivots, seed), "u long, v long, c long")
+    return found.groupBy("u", "v").agg(F.sum("c").alias("c"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components so far."""
+    side = lambda n: labels.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+    joined = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return joined.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select(*pairs.columns)
+
+
+def node_components(sets: DataFrame, buckets: int) -> DataFrame:
+    """sets (node, share, shingles) -> (node, comp) of the nodes that have a link."""
+    spark = sets.sparkSession
+    links, labels, tested = None, None, None
+
+    def test(pairs: DataFrame) -> None:
+        nonlocal links, labels, tested
+        found = common.cut(_linked(pairs, sets))
+        tested = pairs.select("u", "v") if tested is None else tested.union(pairs.select("u", "v"))
+        links = found if links is None else links.union(found)
+        labels = common.cut(components(links))
+        common.release(spark)
+
+    pairs = common.cut(_signature_pairs(sets, None, buckets, 1, 0))
+    # First each member with the pivot that it shares most signatures with, then what this has not joined.
+    best = pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
+    test(common.cut(best))
+    rest = common.cut(_apart(pairs, labels).join(tested, ["u", "v"], "left_anti"))
+    if rest.take(1):
+        test(rest)
+    for pivots, seed in ((4, 1), (0, 2)):
+        pairs = _signature_pairs(sets, labels, buckets, pivots, seed)
+        seen = tested.union(tested.select("v", "u"))
+        pairs = common.cut(pairs.join(seen, ["u", "v"], "left_anti"))
+        if pairs.take(1):
+            test(pairs)
     return labels
 
 
@@ -302,12 +369,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id"
         F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("repeated"))).alias("repeated")
     )
     nodes = common.cut(nodes)
-    likely = nodes.where("4 * repeated >= 3 * n").select(F.col("least").alias("_id"), F.col("node").alias("_node"), (100 * F.col("repeated") / F.col("n")).cast("int").alias("share"))
+    common.release(docs.sparkSession)
+    likely = nodes.where("4 * repeated >= 3 * n").select(F.col("least").alias("_id"), "node", (100 * F.col("repeated") / F.col("n")).cast("int").alias("share"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.join(likely.select("_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node long, n long, shingles binary")
-    sets = common.cut(sets.join(likely, F.col("node") == F.col("_node")).select("node", "n", "shingles", "share").dropDuplicates(["node"]))
-    labels = node_components(sets)
+    texts = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "share")
+    sets = common.table(texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node long, share int, shingles binary"), "sets")
+    common.release(docs.sparkSession)
+    buckets = common.blocks_for(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0, docs.sparkSession)
+    labels = node_components(sets, buckets)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comp = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = named.join(comp, "comp").select(F.col("node").alias("_node"), "component")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import chunks, decontaminate, jaccard, mixing, rules, suffixes, tokens, warc
+from . import chunks, decontaminate, jaccard, licenses, mixing, rules, suffixes, tokens, warc
 
 
 def _shipped(query):
@@ -17,6 +17,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op4_suffix_dedup": suffixes.query,
     "op5_quality_rules": rules.query,
     "op6_mix_sources": mixing.query,
+    "op7_license_scan": licenses.query,
     "op8_token_counts": tokens.query,
     "op9_warc_revisits": warc.query,
     "op10_jaccard_join": jaccard.query,

@@ -86,27 +86,27 @@ def cover_ranks(text: np.ndarray) -> np.ndarray:
     return _names([names, names[later]])
 
 
-def equal_windows(text: np.ndarray, starts: np.ndarray, length: int, block: int = 1 << 19) -> np.ndarray:
+def equal_windows(text: np.ndarray, starts: np.ndarray, length: int, block: int = 1 << 17) -> np.ndarray:
     """A number for each window text[s:s+length], the same for equal windows; length is at least DEPTH + TIE."""
     n = len(starts)
-    classes = np.full(n, -1, np.int64)
+    classes = np.full(n, -1, np.int32)
     if not n:
         return classes
     text = np.concatenate([text, np.zeros(4 * MODULUS + DEPTH, np.uint8)])
     words, ranks = _words(text), cover_ranks(text)
     tail = [*range(TIE + TIE, length - 8, 8), length - 8]
     first = words[starts].astype(np.uint64)
-    order = np.argsort(first, kind="stable")
-    lead = first[order]
-    borders = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+    order = np.argsort(first).astype(np.int32)
+    first = first[order]
+    borders = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
     at, made = 0, 0
     while at < n:
         # One block of suffixes: whole groups of equal first bytes.
         k = int(np.searchsorted(borders, at + block))
         end = int(borders[k]) if k < len(borders) else n
         own = order[at:end]
+        keys = [first[at:end]] + [words[starts[own] + d].astype(np.uint64) for d in range(8, TIE, 8)]
         at = end
-        keys = [first[own]] + [words[starts[own] + d].astype(np.uint64) for d in range(8, TIE, 8)]
         group = _names(keys)
         turn = np.argsort(group, kind="stable")
         own, group = own[turn], group[turn]
@@ -315,15 +315,18 @@ def _sort_parcels(table: pa.Table, length: int) -> pa.Table:
         texts.append(np.frombuffer(blob, np.uint8, offset=20 * k))
     doc, place, size, text = (np.concatenate(x) for x in (docs, places, sizes, texts))
     width = size + length - 1
-    begin = np.r_[0, np.cumsum(width)[:-1]]
-    before = np.r_[0, np.cumsum(size)[:-1]]
-    step = np.arange(int(size.sum())) - np.repeat(before, size)
-    starts = np.repeat(begin, size) + step
+    before = np.cumsum(size) - size
+    total = int(size.sum())
+    # Items in the order in which their windows count: by id, block and place.
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((place, np.repeat(np.array(p), n), doc))] = np.arange(len(doc))
+    starts = np.repeat((np.cumsum(width) - width - before).astype(np.int32), size) + np.arange(total, dtype=np.int32)
     classes = equal_windows(text, starts, length)
-    block = np.repeat(np.repeat(np.array(p), n), size)
-    order = np.lexsort((np.repeat(place, size) + step, block, np.repeat(doc, size), classes))
+    del text, starts
+    turn = np.repeat(rank * (int(size.max()) + 1) - before, size) + np.arange(total)
+    order = np.lexsort((turn, classes))
     ranked = classes[order]
-    again = np.zeros(len(order), bool)
+    again = np.zeros(total, bool)
     again[order[1:]] = ranked[1:] == ranked[:-1]
     per_block = [int(s.sum()) for s in sizes]
     parts = np.split(again, np.cumsum(per_block)[:-1])
@@ -361,7 +364,9 @@ def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest
 def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, schema) -> DataFrame:
     if length < DEPTH + TIE:
         raise ValueError(f"length is at least {DEPTH + TIE}")
-    dealt, buckets = deal(docs, doc_id, text)
+    dealt, blocks = deal(docs, doc_id, text)
+    # More buckets than blocks: what a bucket sorts at a time takes many times its text's bytes.
+    buckets = 4 * blocks
 
     def build(table: pa.Table) -> Block:
         return Block(table.drop_columns(["_p"]), doc_id, text, length)
