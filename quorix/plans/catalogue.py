@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quorix.plans.oracles import ORACLES
+from quorix.plans.queries import QUERIES
+
 FLAGSHIP = "knn_bucket_exact"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
