@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import chunks, decontaminate, jaccard, licenses, mixing, rules, suffixes, tokens, warc
+from . import chunks, decontaminate, jaccard, katz, licenses, mixing, rules, suffixes, tokens, warc
 
 
 def _shipped(query):
@@ -13,6 +13,7 @@ def _shipped(query):
 
 QUERIES = {name: _shipped(query) for name, query in {
     "op1_chunk_dedup": chunks.query,
+    "op2_katz_scores": katz.query,
     "op3_decontaminate": decontaminate.query,
     "op4_suffix_dedup": suffixes.query,
     "op5_quality_rules": rules.query,
