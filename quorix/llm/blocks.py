@@ -43,11 +43,11 @@ def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(q, int(a), int(b)) for q, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)) if b > a]
 
 
-def deal(docs: DataFrame, doc_id: str, text: str, block_bytes: int = 8 << 20) -> tuple[DataFrame, int]:
-    """docs with their block in _p, and the number of blocks; rows with equal ids share a block."""
+def deal(docs: DataFrame, doc_id: str, text: str, block_bytes: int = 8 << 20, name: str = "_p") -> tuple[DataFrame, int]:
+    """docs with their block in column `name`, and the number of blocks; rows with equal ids share a block."""
     blocks = common.blocks_for(common.text_bytes(docs, text), docs.sparkSession, block_bytes)
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))))
-    return docs.withColumn("_p", F.pmod(key, F.lit(blocks)).cast("int")), blocks
+    return docs.withColumn(name, F.pmod(key, F.lit(blocks)).cast("int")), blocks
 
 
 def in_order(table: pa.Table, doc_id: str, text: str) -> tuple[pa.Table, np.ndarray]:

@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorix.session import new_folder, shared_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The six bytes that end a word.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorix-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quorix-{what}-{uuid.uuid4().hex}"
+def fresh(wanted: str, columns: list[str]) -> str:
+    """`wanted`, with underscores in front until no column is called that."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
 def cut(df: DataFrame) -> DataFrame:

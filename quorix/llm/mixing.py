@@ -103,12 +103,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes, with `copies`; the text is read where it lies, not shuffled to be sorted."""
+    """The rows of docs that the mix takes, with `copies` (in place of a column of that name); texts stay where they lie."""
     _, limits, rows = plan(docs, weights, max_repeat, doc_id, text, source)
-    limits = limits.select("_source", "_whole", "_limit")
-    joined = docs.join(common.small_side(limits, rows), docs[source].eqNullSafe(limits["_source"]))
-    copies = F.col("_whole") + F.when(document_hash(docs[doc_id]) < F.col("_limit"), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).where("copies > 0").drop("_source", "_whole", "_limit")
+    names = [common.fresh(x, docs.columns) for x in ("_source", "_whole", "_limit")]
+    limits = limits.select("_source", "_whole", "_limit").toDF(*names)
+    joined = docs.join(common.small_side(limits, rows), docs[source].eqNullSafe(limits[names[0]]))
+    copies = F.col(names[1]) + F.when(document_hash(docs[doc_id]) < F.col(names[2]), 1).otherwise(0)
+    return joined.withColumn("copies", copies.cast("long")).where("copies > 0").drop(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -117,8 +117,8 @@ def fences(sketch: DataFrame, reach: int, least: int) -> DataFrame:
     return joined.select("_lang", "_source", f.getField("lower").alias("lower"), f.getField("upper").alias("upper"))
 
 
-def verdict(n_words: Column, n_repeat_words: Column, counts: str = "") -> Column:
-    inside = [_ratio(r, counts).between(F.col("lower")[i], F.col("upper")[i]) for i, r in enumerate(RATIOS)]
+def verdict(n_words: Column, n_repeat_words: Column, counts: str = "", lower: str = "lower", upper: str = "upper") -> Column:
+    inside = [_ratio(r, counts).between(F.col(lower)[i], F.col(upper)[i]) for i, r in enumerate(RATIOS)]
     ok = ~base_failed(n_words, n_repeat_words)
     for x in inside:
         ok = ok & F.coalesce(x, F.lit(True))
@@ -142,10 +142,13 @@ def judge(docs: DataFrame, reach: int = 8, least: int = 50, doc_id: str = "doc_i
 def keep_good(docs: DataFrame, reach: int = 8, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that pass; texts are counted where they lie and never shuffled."""
     limits = learned_fences(docs, reach, least, text, lang, source)
-    counted = docs.withColumn("_counts", text_counts(F.col(text)))
-    joined = counted.join(common.small_side(limits, limits.count()), counted[lang].eqNullSafe(limits["_lang"]) & counted[source].eqNullSafe(limits["_source"]), "left")
-    kept = joined.where(verdict(F.col("_counts.n_words"), F.col("_counts.n_repeat_words"), "_counts."))
-    return kept.select(*[docs[c] for c in docs.columns])
+    names = [common.fresh(x, docs.columns) for x in ("_lang", "_source", "_lower", "_upper")]
+    limits, counts = limits.toDF(*names), common.fresh("_counts", docs.columns)
+    counted = docs.withColumn(counts, text_counts(F.col(text)))
+    same = counted[lang].eqNullSafe(limits[names[0]]) & counted[source].eqNullSafe(limits[names[1]])
+    joined = counted.join(common.small_side(limits, limits.count()), same, "left")
+    kept = joined.where(verdict(F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words"), f"{counts}.", *names[2:]))
+    return kept.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
