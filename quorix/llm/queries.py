@@ -25,6 +25,7 @@ QUERIES = {name: _shipped(query) for name, query in {
 }.items()}
 
 ORACLES = {
+    "op5_quality_rules": rules.SQL,
     "op6_mix_sources": mixing.SQL,
     "op9_warc_revisits": warc.SQL,
 }

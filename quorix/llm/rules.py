@@ -106,8 +106,9 @@ def fences(sketch: DataFrame, reach: int, least: int) -> DataFrame:
     """(_lang, _source, lower, upper): the fences of each language and source, arrays by rule. One row a group."""
     slack = lambda i: F.element_at(F.array(*[F.lit(r[i]).cast("long") for r in RATIOS]), F.col("rule") + 1)
     upper = F.greatest(F.col("q3") + reach * (F.col("q3") - F.col("q2")), F.col("q2") + slack(4))
-    lower = F.least(F.col("q1") - reach * (F.col("q2") - F.col("q1")), F.col("q2") - slack(5))
-    bound = F.struct(F.col("rule"), F.coalesce(lower, F.lit(-1).cast("long")).alias("lower"), upper.alias("upper"))
+    near = F.least(F.col("q1") - reach * (F.col("q2") - F.col("q1")), F.col("q2") - slack(5))
+    lower = F.when(slack(5).isNull(), F.lit(-1)).otherwise(near).cast("long")  # ratios without a lower slack have no lower fence
+    bound = F.struct(F.col("rule"), lower.alias("lower"), upper.alias("upper"))
     rows = lambda by: _quantiles(sketch, by).groupBy(*by).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(bound)).alias("f"))
     own = rows(["lang", "source"]).toDF("_lang", "_source", "n", "f")
     of_lang = rows(["lang"]).toDF("_l", "_ln", "_lf")
@@ -154,3 +155,37 @@ def keep_good(docs: DataFrame, reach: int = 8, least: int = 50, text: str = "tex
 def query(spark, sf_dir: str) -> DataFrame:
     judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """The same counts, sketches and fences, from the table of ratios above."""
+    ratio = lambda r: f"CASE WHEN {r[2]} > 0 THEN {r[1]} * {r[3]} // {r[2]} ELSE 0 END"
+    values = " UNION ALL ".join(f"SELECT lang, source, {i} AS rule, {ratio(r)} AS v FROM c WHERE n_words > 0" for i, r in enumerate(RATIOS))
+    slack = lambda k: "CASE rule " + " ".join(f"WHEN {i} THEN {'NULL' if r[k] is None else r[k]}" for i, r in enumerate(RATIOS)) + " END"
+    level = lambda name, by: f"""
+{name}q AS (SELECT *, sum(n) OVER (PARTITION BY {by} rule ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by} rule) AS total FROM (SELECT {by} rule, b, sum(n) AS n FROM sk GROUP BY {by} rule, b)),
+{name}f AS (SELECT *, greatest(q3 + 8 * (q3 - q2), q2 + {slack(4)}) AS hi, CASE WHEN {slack(5)} IS NULL THEN -1 ELSE least(q1 - 8 * (q2 - q1), q2 - {slack(5)}) END AS lo FROM (
+  SELECT {by} rule, min(total) AS total, min(top) FILTER (upto >= total * 0.25) AS q1, min(top) FILTER (upto >= total * 0.5) AS q2, min(top) FILTER (upto >= total * 0.75) AS q3
+  FROM (SELECT *, (((b - greatest(b // 32 - 1, 0) * 32) + 1) << greatest(b // 32 - 1, 0)) - 1 AS top FROM {name}q) GROUP BY {by} rule))"""
+    same = lambda a, b, c: f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}"
+    out = " OR ".join(f"(rule = {i} AND ({ratio(r)} < lo OR {ratio(r)} > hi))" for i, r in enumerate(RATIOS))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON r.rid = w.rid),
+v AS ({values}),
+sk AS (SELECT lang, source, rule, (v >> greatest(length(bin(v)) - 6, 0)) + greatest(length(bin(v)) - 6, 0) * 32 AS b, count(*) AS n FROM v GROUP BY 1, 2, 3, 4),
+{level('own', 'lang, source, ')[1:]},{level('lang', 'lang, ')},{level('all', '')},
+f AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.total >= 50 THEN o.lo WHEN l.total >= 50 THEN l.lo ELSE a.lo END AS lo, CASE WHEN o.total >= 50 THEN o.hi WHEN l.total >= 50 THEN l.hi ELSE a.hi END AS hi
+  FROM ownf o JOIN langf l ON {same('o', 'l', 'lang')} AND l.rule = o.rule JOIN allf a ON a.rule = o.rule),
+bad AS (SELECT DISTINCT rid FROM c JOIN f ON {same('c', 'f', 'lang')} AND {same('c', 'f', 'source')} WHERE {out})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND c.rid NOT IN (SELECT rid FROM bad) AS kept FROM c
+"""
+
+
+SQL = _sql()
