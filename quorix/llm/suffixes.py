@@ -41,7 +41,7 @@ HOT_SEGMENTS = 1000
 H_BYTES = 6
 _POS_BITS = np.uint64(24)
 _POS_MASK = np.uint64((1 << 24) - 1)
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 _LONGEST = 4 << 20
 
 
@@ -194,7 +194,8 @@ class Block:
         first = np.flatnonzero(new & inside)
         stop = np.flatnonzero(np.r_[(new | ~inside)[1:], True] & inside) + 1
         digest = _DIGESTS.substrings(_DIGESTS.prefix(part), first, stop + length - 1)
-        return first + start, stop - first, grams[at[first]], digest
+        # Smallest hashes are small numbers; mixed again they spread over the buckets.
+        return first + start, stop - first, common.mix64(grams[at[first]]), digest
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, side="right") - 1
@@ -341,7 +342,7 @@ def _codes(answers: dict[int, tuple[int, bytes]]) -> np.ndarray:
     return np.concatenate([np.frombuffer(answers[q][1], np.uint8) for q in sorted(answers)]) if answers else np.empty(0, np.uint8)
 
 
-def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest_only: bool) -> pa.Table:
+def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest_only: bool, count: str | None) -> pa.Table:
     removed, spans, kept = [], [], []
     edge = np.r_[False, gone]
     begins = np.flatnonzero(gone & ~edge[:-1])
@@ -358,18 +359,19 @@ def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest
         return pa.table({"doc_id": block.table[id_name].cast(pa.int64()), "n_bytes": pa.array(np.diff(block.offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
     table = block.table
     text = pa.array([k if v else None for k, v in zip(kept, table[text_name].is_valid().to_pylist(), strict=True)], table.schema.field(text_name).type)
-    return table.set_column(table.schema.get_field_index(text_name), text_name, text).append_column("_removed", pa.array(removed, pa.int64()))
+    return table.set_column(table.schema.get_field_index(text_name), text_name, text).append_column(count, pa.array(removed, pa.int64()))
 
 
-def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, schema) -> DataFrame:
+def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, schema, count: str | None = None) -> DataFrame:
     if length < DEPTH + TIE:
         raise ValueError(f"length is at least {DEPTH + TIE}")
-    dealt, blocks = deal(docs, doc_id, text)
-    # More buckets than blocks: what a bucket sorts at a time takes many times its text's bytes.
-    buckets = 4 * blocks
+    block = common.fresh("_p", docs.columns)
+    # Small blocks and more buckets: hashing and sorting take many times the bytes of the text at hand.
+    dealt, blocks = deal(docs, doc_id, text, 4 << 20, block)
+    buckets = 2 * blocks
 
     def build(table: pa.Table) -> Block:
-        return Block(table.drop_columns(["_p"]), doc_id, text, length)
+        return Block(table.drop_columns([block]), doc_id, text, length)
 
     def say_names(key, table):
         p = key[0].as_py()
@@ -390,16 +392,16 @@ def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool
         codes = _codes(_joined(answers, -1))
         bits = _joined(answers, 0)
         flags = [np.unpackbits(np.frombuffer(bits[q][1], np.uint8), count=bits[q][0]).astype(bool) for q in sorted(bits)]
-        block = build(table)
-        gone = block.removed(codes, np.concatenate(flags) if flags else np.empty(0, bool))
-        return _result(block, gone, doc_id, text, digest_only)
+        own = build(table)
+        gone = own.removed(codes, np.concatenate(flags) if flags else np.empty(0, bool))
+        return _result(own, gone, doc_id, text, digest_only, count)
 
     # One plan: the shuffle of the documents into blocks is written once and read by three steps.
-    names = dealt.groupBy("_p").applyInArrow(say_names, MAIL)
+    names = dealt.groupBy(block).applyInArrow(say_names, MAIL)
     codes = names.groupBy("q").applyInArrow(lambda key, table: _compare_names(table), MAIL)
-    parcels = dealt.groupBy("_p").cogroup(codes.groupBy("p")).applyInArrow(say_parcels, MAIL)
+    parcels = dealt.groupBy(block).cogroup(codes.groupBy("p")).applyInArrow(say_parcels, MAIL)
     sorted_ = parcels.groupBy("q").applyInArrow(sort, MAIL)
-    return dealt.groupBy("_p").cogroup(sorted_.groupBy("p")).applyInArrow(finish, schema)
+    return dealt.groupBy(block).cogroup(sorted_.groupBy("p")).applyInArrow(finish, schema)
 
 
 def repeat_report(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,10 +410,10 @@ def repeat_report(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", te
     return _run(docs.select(doc_id, text), length, doc_id, text, True, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated bytes of the text cut out (a character cut in two goes as well); _removed counts them."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
-    return _run(docs, length, doc_id, text, False, schema)
+def remove_repeats(docs: DataFrame, count: str, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the repeated bytes of the text cut out (a character cut in two goes as well), counted in a column."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
+    return _run(docs, length, doc_id, text, False, schema, count)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
