@@ -29,8 +29,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that start earlier go; documents without a word left go too."""
-    cut = suffixes.remove_repeats(docs)
-    emptied = (F.col("_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
+    count = common.fresh("_removed", docs.columns)
+    cut = suffixes.remove_repeats(docs, count)
+    emptied = (F.col(count) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cut.where(~emptied).select(*columns)
 
