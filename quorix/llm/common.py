@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +26,42 @@ def fresh(wanted: str, columns: list[str]) -> str:
     return wanted
 
 
+#: Lets Spark delete a query's shuffle files when it ends; else they stay until the driver collects its garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are planned in here leave no shuffle files behind."""
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: later plans read it instead of computing df again."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def table(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: smaller than a checkpoint."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the
-    driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(spark: SparkSession, df: DataFrame, what: str) -> None:
+    """Deletes the folders of table(..., what) that df reads."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if f"/quorix-{what}-" in f}:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating stars, each round cut by a checkpoint."""
+"""Connected components of an edge table by stars, each round cut by a checkpoint."""
 
 from __future__ import annotations
 
@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """Ties each node and all its neighbours to the smallest of them; what was connected stays connected."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Only nodes with an edge appear. Rounds end when the edges are stars and no longer change.
     """
-    now = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
+    now, sign = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
     while True:
-        now = common.cut(_small_star(_large_star(now)))
+        now = common.cut(_stars(now))
         last, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if sign == last:
             break

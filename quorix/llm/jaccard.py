@@ -13,10 +13,16 @@ is partitioned by hash in n1 = ceil(0.35 u) parts, and the subsets that are enum
 parts at most k <= min(n/3, (n+u-1)/7) differ between a node of size n and its partner, so n1 - k parts
 are equal. A node whose empty parts are fewer than that shares a filled part, its signature, with each partner. If
 both sides have more empty parts (tiny sets), they meet by single shingles instead. So no link is lost.
+More than that: a node with f filled parts shares f - k signatures at least with each partner, so the rarest of them
+is not among its f - k - 1 most frequent ones. These are left out, which rids nodes of what common passages give.
+
+Sketches. A message carries parity bitmaps of its nodes, which bound |a ^ b| from below, so most pairs that share
+signatures but do not link are dropped in the bucket, before they are rows.
 
 Verification. The members of a signature are compared with one pivot, the member with the largest share of
 repeated shingles (the likely origin of its copies), and links become components. Then what is left: members of
-one signature in different components, with four other pivots, and at last all pairs of them not compared before.
+one signature in different components: all pairs in small groups, four pivots in large ones, and at last, if there
+were large ones, all pairs that are left.
 
 Cases: null, empty or blank text has size 0 and is its own component; under 5 words the whole sequence is the
 shingle; repeated rows and ids meet as equal sets; null ids are kept and never name a component that has another
@@ -39,6 +45,7 @@ from .blocks import MAIL, bucket_slices, mail, planes, unplanes
 from .graph import components
 
 BLOCK_BYTES = 12 << 20
+SIGNATURE_BYTES = 8 << 20
 _STEP = tuple(np.uint64(x) for x in common.mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1))
 
 
@@ -205,8 +212,8 @@ def band_edges() -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def signatures(shingles: np.ndarray) -> np.ndarray:
-    """The PartEnum signatures of one set."""
+def signatures(shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """The PartEnum signatures of one set, by band, each with how many of them a linked set shares at least."""
     n, edges, out = len(shingles), band_edges(), []
     own = int(np.searchsorted(edges, n, side="right")) - 1
     for band in (own, own + 1):
@@ -217,80 +224,184 @@ def signatures(shingles: np.ndarray) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         part, mixed = part[order], common.mix64(shingles[order] + np.uint64(77))
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        out.append(common.mix64(np.add.reduceat(mixed, first) + common.mix64(part[first] * np.uint64(4096) + np.uint64(2 * band))))
-        if n1 - len(first) >= n1 - k:
-            out.append(common.mix64(mixed + np.uint64((2 * band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-    return np.concatenate(out)
+        filled = common.mix64(np.add.reduceat(mixed, first) + common.mix64(part[first] * np.uint64(4096) + np.uint64(2 * band)))
+        out.append((filled, max(1, len(first) - k)))
+        if len(first) <= k:
+            out.append((common.mix64(mixed + np.uint64((2 * band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), -(-3 * n // 4)))
+    return out
+
+
+def _block_signatures(table: pa.Table) -> tuple[pa.Table, list, np.ndarray]:
+    """A block's sets in order of node, their signatures, and all of these sorted."""
+    table = table.sort_by("node")
+    made = [signatures(np.frombuffer(b.as_py(), np.uint64)) for b in table["shingles"]]
+    every = np.sort(np.concatenate([s for m in made for s, _ in m])) if made else np.empty(0, np.uint64)
+    return table, made, every
+
+
+def _say_signatures(key, table: pa.Table, buckets: int) -> pa.Table:
+    _, _, every = _block_signatures(table)
+    return mail([(q, key[0].as_py(), b - a, planes(every[a:b], 8)) for q, a, b in bucket_slices(every, buckets)])
+
+
+def _count_signatures(table: pa.Table) -> pa.Table:
+    """For each signature that a block sent how many nodes have it, up to 65535."""
+    q, p, n, blobs = (table[c].to_pylist() for c in ("q", "p", "n", "blob"))
+    values, back, counts = np.unique(np.concatenate([unplanes(b, k, 8) for b, k in zip(blobs, n, strict=True)]), return_inverse=True, return_counts=True)
+    counts = np.minimum(counts, 65535).astype(np.uint16)[back]
+    return mail([(a, b, k, x.tobytes()) for a, b, k, x in zip(q, p, n, np.split(counts, np.cumsum(n)[:-1]), strict=True)])
+
+
+_KEPT = "node long, share int, n long, sketch binary, sigs binary"
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's elements over at least 2 n places, a power of two: two sketches differ in no more places
+    than the sets have differing elements, and a larger sketch folds to a smaller one."""
+    places = 64
+    while places < 2 * len(shingles):
+        places *= 2
+    bits = np.bincount((common.mix64(shingles + np.uint64(5)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places the rows of two matrices of sketches differ, the wider ones folded."""
+    while a.shape[1] > b.shape[1]:
+        a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+    while b.shape[1] > a.shape[1]:
+        b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def _rarest(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of signatures of which a linked set shares t at least, all but the t - 1 most frequent; of these, the shared."""
+    table, made, every = _block_signatures(table)
+    got = sorted(zip(answers["q"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+    counts = np.frombuffer(b"".join(b for _, b in got), np.uint16)
+    blobs = []
+    for m in made:
+        kept = []
+        for sig, t in m:
+            count = counts[np.searchsorted(every, sig)]
+            order = np.lexsort((sig, count))[: len(sig) - t + 1]
+            kept.append(sig[order][count[order] > 1])
+        blobs.append(np.concatenate(kept).tobytes())
+    sets = [np.frombuffer(b.as_py(), np.uint64) for b in table["shingles"]]
+    columns = [table["node"], table["share"], pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary()), pa.array(blobs, pa.binary())]
+    return pa.table(columns, names=["node", "share", "n", "sketch", "sigs"])
+
+
+def kept_signatures(sets: DataFrame, buckets: int) -> DataFrame:
+    """sets (node, share, shingles) -> (node, share, sigs): the signatures by which each node can meet its links."""
+    dealt = sets.withColumn("_p", F.pmod("node", F.lit(buckets)).cast("int"))
+    said = dealt.groupBy("_p").applyInArrow(lambda key, table: _say_signatures(key, table, buckets), MAIL)
+    counts = said.groupBy("q").applyInArrow(lambda key, table: _count_signatures(table), MAIL)
+    kept = dealt.groupBy("_p").cogroup(counts.groupBy("p")).applyInArrow(lambda key, a, b: _rarest(a, b), _KEPT)
+    return common.table(kept.where(F.octet_length("sigs") > 0), "signatures")
 
 
 def _pack_signatures(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(node, share, comp, shingles) -> messages to buckets: signatures and, for each, which node has it."""
+    """(node, comp, share, n, sketch, sigs) -> messages to buckets: signatures, which node has each, and the nodes."""
 
-    def flush(nodes, shares, comps, made):
+    def flush(rows):
+        made = [np.frombuffer(r[5], np.uint64) for r in rows]
         values = np.concatenate(made)
-        owner = np.repeat(np.arange(len(made), dtype=np.uint32), [len(m) for m in made])
+        owner = np.repeat(np.arange(len(made)), [len(m) for m in made])
         order = np.argsort(values)
         values, owner = values[order], owner[order]
-        head = np.array(nodes, np.int64).tobytes() + np.array(comps, np.int64).tobytes() + np.array(shares, np.int64).tobytes()
-        rows = [(q, len(nodes), b - a, head + planes(values[a:b], 8) + owner[a:b].astype(np.uint16).tobytes()) for q, a, b in bucket_slices(values, buckets)]
-        return mail(rows).to_batches()
-
-    nodes, shares, comps, made, held = [], [], [], [], 0
+        facts = np.array([(r[0], r[1], r[2], r[3], len(r[4])) for r in rows], np.int64)
+        out = []
+        for q, a, b in bucket_slices(values, buckets):
+            own, at = np.unique(owner[a:b], return_inverse=True)
+            blob = facts[own].tobytes() + b"".join(rows[i][4] for i in own) + planes(values[a:b], 8) + at.astype(np.uint32).tobytes()
+            out.append((q, len(own), b - a, blob))
+        return mail(out).to_batches()
+
+    rows, held = [], 0
     for batch in batches:
-        for node, share, comp, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            nodes.append(node)
-            shares.append(share)
-            comps.append(comp)
-            made.append(signatures(np.frombuffer(blob, np.uint64)))
-            held += len(made[-1])
-            if held > 1 << 20 or len(nodes) == 1 << 16:
-                yield from flush(nodes, shares, comps, made)
-                nodes, shares, comps, made, held = [], [], [], [], 0
-    if made:
-        yield from flush(nodes, shares, comps, made)
+        for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            rows.append(row)
+            held += len(row[5])
+            if held > 4 << 20:
+                yield from flush(rows)
+                rows, held = [], 0
+    if rows:
+        yield from flush(rows)
 
 
 _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("c", pa.int64())])
 
 
-def _bucket_pairs(table: pa.Table, pivots: int, seed: int) -> pa.Table:
-    """Signatures of one bucket -> pairs (pivot, member, signatures shared here) whose components differ.
-
-    A group has up to `pivots` pivots: for seed 0 the nodes with the largest share, else by hash; 0: all are.
+def _possible(u: np.ndarray, v: np.ndarray, sizes: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+    """Whether sizes and sketches leave it open that nodes link: |a ^ b| <= (|a| + |b|) / 7, and a sketch shows at
+    most what differs."""
+    small, large = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+    out = 4 * small >= 3 * large
+    width = np.array([len(x) for x in sketches])
+    for wu in np.unique(width[u]):
+        for wv in np.unique(width[v]):
+            rows = np.flatnonzero(out & (width[u] == wu) & (width[v] == wv))
+            for at in range(0, len(rows), 1 << 14):
+                part = rows[at : at + (1 << 14)]
+                side = lambda x, w: np.frombuffer(b"".join(sketches[i] for i in x[part]), np.uint64).reshape(len(part), w // 8)  # noqa: B023, E731
+                out[part] = 7 * differing(side(u, wu), side(v, wv)) <= sizes[u[part]] + sizes[v[part]]
+    return out
+
+
+def _bucket_pairs(table: pa.Table, pivots: int, small: int, seed: int) -> pa.Table:
+    """Signatures of one bucket -> pairs (pivot, member, signatures shared here) that may link and whose components
+    differ.
+
+    In a group of up to `small` members all are pivots, in a larger one `pivots` of them: for seed 0 the nodes with
+    the largest share, else by hash. A row of nulls says that there were larger groups.
     """
-    sig, node, comp, share = [], [], [], []
+    sig, owner, facts, sketches = [], [], [], []
     for k, n, blob in zip(table["p"].to_pylist(), table["n"].to_pylist(), table["blob"].to_pylist(), strict=True):
-        head = np.frombuffer(blob, np.int64, 3 * k).reshape(3, k)
-        rest = blob[24 * k :]
-        owner = np.frombuffer(rest, np.uint16, n, 8 * n)
-        sig.append(unplanes(rest, n, 8))
-        node.append(head[0][owner])
-        comp.append(head[1][owner])
-        share.append(head[2][owner])
-    sig, node, comp, share = (np.concatenate(x) for x in (sig, node, comp, share))
-    rank = -share if seed == 0 else common.mix64(node.view(np.uint64) + np.uint64(seed)).view(np.int64)
+        head = np.frombuffer(blob, np.int64, 5 * k).reshape(k, 5)
+        at = 40 * k
+        owner.append(np.frombuffer(blob, np.uint32, n, at + int(head[:, 4].sum()) + 8 * n).astype(np.int64) + len(sketches))
+        for width in head[:, 4].tolist():
+            sketches.append(blob[at : at + width])
+            at += width
+        sig.append(unplanes(blob[at:], n, 8))
+        facts.append(head)
+    sig, owner, facts = np.concatenate(sig), np.concatenate(owner), np.concatenate(facts)
+    node, comp = facts[owner, 0], facts[owner, 1]
+    rank = -facts[owner, 2] if seed == 0 else common.mix64(node.view(np.uint64) + np.uint64(seed)).view(np.int64)
     order = np.lexsort((node, rank, sig))
-    sig, node, comp = sig[order], node[order], comp[order]
+    sig, node, comp, owner = sig[order], node[order], comp[order], owner[order]
     first = np.r_[True, sig[1:] != sig[:-1]]
     start = np.flatnonzero(first)
     group = np.cumsum(first) - 1
     size = np.diff(np.r_[start, len(sig)])
     mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
     live = mixed[group]
-    u, v = [], []
-    for k in range(min(pivots or 1 << 62, int(size[mixed].max()) if mixed.any() else 0)):
+    most = np.where(size <= small, size, pivots)
+    found, counts, held = np.empty(0, np.int64), np.empty(0, np.int64), []
+    place = np.arange(len(sig)) - start[group]
+
+    def fold():
+        # The pairs met so far, each once with its count; an owner stands for one message's view of a node.
+        nonlocal found, counts, held
+        code, count = np.unique(np.concatenate([found, *held]), return_counts=True)
+        count[np.searchsorted(code, found)] += counts - 1
+        found, counts, held = code, count, []
+
+    for k in range(int(most[mixed].max()) if mixed.any() else 0):
         # The k-th of each group against all behind it.
-        has = live & (size[group] > k)
-        at = np.flatnonzero(has & (np.arange(len(sig)) - start[group] > k))
+        at = np.flatnonzero(live & (most[group] > k) & (place > k))
         pivot = start[group[at]] + k
         other = comp[at] != comp[pivot]
-        u.append(node[pivot[other]])
-        v.append(node[at[other]])
-    if not u:
-        return _PAIRS.empty_table()
-    pairs = np.stack([np.concatenate(u), np.concatenate(v)])
-    pairs, count = np.unique(pairs, axis=1, return_counts=True)
-    return pa.table([pairs[0], pairs[1], count], schema=_PAIRS)
+        held.append(owner[pivot[other]] << np.int64(32) | owner[at[other]])
+        if sum(map(len, held)) > 1 << 21:
+            fold()
+    fold()
+    u, v = found >> np.int64(32), found & np.int64(0xFFFFFFFF)
+    keep = _possible(u, v, facts[:, 3], sketches) if len(found) else np.empty(0, bool)
+    out = pa.table([facts[u[keep], 0], facts[v[keep], 0], counts[keep]], schema=_PAIRS)
+    larger = bool((mixed & (size > small)).any())
+    return pa.concat_tables([out, pa.table([[None], [None], [1]], schema=_PAIRS)]) if larger else out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +427,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
 
 
-def _signature_pairs(sets: DataFrame, labels: DataFrame | None, buckets: int, pivots: int, seed: int) -> DataFrame:
+def _signature_pairs(signed: DataFrame, labels: DataFrame | None, buckets: int, pivots: int, small: int, seed: int) -> DataFrame:
     if labels is None:
-        named = sets.withColumn("comp", F.col("node"))
+        named = signed.withColumn("comp", F.col("node"))
     else:
-        named = sets.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node"))
-    sent = named.select("node", "share", "comp", "shingles").mapInArrow(functools.partial(_pack_signatures, buckets=buckets), MAIL)
-    found = sent.groupBy("q").applyInArrow(lambda key, table: _bucket_pairs(table, pivots, seed), "u long, v long, c long")
+        named = signed.join(labels.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("comp", "node"))
+    sent = named.select("node", "comp", "share", "n", "sketch", "sigs").mapInArrow(functools.partial(_pack_signatures, buckets=buckets), MAIL)
+    found = sent.groupBy("q").applyInArrow(lambda key, table: _bucket_pairs(table, pivots, small, seed), "u long, v long, c long")
     return found.groupBy("u", "v").agg(F.sum("c").alias("c"))
 
 
@@ -344,21 +455,28 @@ def node_components(sets: DataFrame, buckets: int) -> DataFrame:
         tested = pairs.select("u", "v") if tested is None else tested.union(pairs.select("u", "v"))
         links = found if links is None else links.union(found)
         labels = common.cut(components(links))
-        common.release(spark)
 
-    pairs = common.cut(_signature_pairs(sets, None, buckets, 1, 0))
+    signed = kept_signatures(sets, buckets)
+    # Messages bring their nodes' sketches along, so these buckets are as few as their size allows.
+    buckets = max(1, -(-(signed.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0) // SIGNATURE_BYTES))
+    pairs = common.cut(_signature_pairs(signed, None, buckets, 1, 0, 0).where("u is not null"))
     # First each member with the pivot that it shares most signatures with, then what this has not joined.
     best = pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")).select("u", "v")
     test(common.cut(best))
     rest = common.cut(_apart(pairs, labels).join(tested, ["u", "v"], "left_anti"))
     if rest.take(1):
         test(rest)
-    for pivots, seed in ((4, 1), (0, 2)):
-        pairs = _signature_pairs(sets, labels, buckets, pivots, seed)
+    # Then all pairs of small groups and some of large ones, and only if there were large ones all that is left.
+    for small in (64, 1 << 62):
+        pairs = _signature_pairs(signed, labels, buckets, 4, small, 1)
         seen = tested.union(tested.select("v", "u"))
         pairs = common.cut(pairs.join(seen, ["u", "v"], "left_anti"))
-        if pairs.take(1):
-            test(pairs)
+        fresh = pairs.where("u is not null")
+        if fresh.take(1):
+            test(fresh)
+        if not pairs.where("u is null").take(1):
+            break
+    common.discard(spark, signed, "signatures")
     return labels
 
 
@@ -369,14 +487,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id"
         F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("repeated"))).alias("repeated")
     )
     nodes = common.cut(nodes)
-    common.release(docs.sparkSession)
     likely = nodes.where("4 * repeated >= 3 * n").select(F.col("least").alias("_id"), "node", (100 * F.col("repeated") / F.col("n")).cast("int").alias("share"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     texts = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "share")
     sets = common.table(texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node long, share int, shingles binary"), "sets")
-    common.release(docs.sparkSession)
     buckets = common.blocks_for(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0, docs.sparkSession)
     labels = node_components(sets, buckets)
+    common.discard(docs.sparkSession, sets, "sets")
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comp = named.groupBy("comp").agg(F.min("least").alias("component"))
     named = named.join(comp, "comp").select(F.col("node").alias("_node"), "component")
@@ -385,10 +502,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays (rows with a null id too)."""
-    found = jaccard_components(docs, shingle, doc_id, text)
-    kept = found.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs whose id names their component: one document of each group stays, and of rows repeated whole
+    one. Rows with a null id stay, those with equal texts once."""
+    key, rows, mark = (common.fresh(x, docs.columns) for x in ("_key", "_rows", "_mark"))
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
+    found = jaccard_components(docs, shingle, doc_id, text).where("component_id = doc_id or doc_id is null")
+    kept = found.groupBy(name(F.col("doc_id")).alias(key)).agg(F.count("*").alias(rows))
+    joined = docs.withColumn(key, name(F.col(doc_id))).join(kept, key)
+    # Texts are compared only where an id stands twice; the join has dealt the rows by id already.
+    once = joined.withColumn(mark, F.when(F.col(rows) > 1, F.xxhash64(F.col(text)))).dropDuplicates([key, mark])
+    return once.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
