@@ -282,8 +282,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     dealt, buckets = deal(picked, "doc_id", "text")
     path = common.new_folder(spark, "katz")
     counts = picked.select("text").mapInArrow(lambda batches: _count(batches, buckets), MAIL).groupBy("q").applyInArrow(lambda key, table: _merge(table), TABLE)
-    counts.write.partitionBy("level").parquet(f"{path}/counts")
-    common.release(spark)
+    with common.tidy(spark):
+        counts.write.partitionBy("level").parquet(f"{path}/counts")
     tables = spark.read.schema(TABLE).parquet(f"{path}/counts")
     facts = {r["level"]: r for r in tables.groupBy("level").agg(F.sum("total").alias("total"), *[F.sum(F.col("seen")[i]).alias(f"s{i}") for i in range(MOST_DISCOUNTED + 2)]).collect()}
     seen = {level: [facts[level][f"s{i}"] if level in facts else 0 for i in range(MOST_DISCOUNTED + 2)] for level in (1, 2)}
@@ -297,9 +297,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     told = asked.groupBy("q").cogroup(tables.groupBy("q")).applyInArrow(lambda key, a, b: _answer(a, b, True), MAIL)
     sums = dealt.groupBy("_p").cogroup(told.groupBy("p")).applyInArrow(lambda key, a, b: _context_sums(key, a, b, model, "text"), MAIL)
     weighed = sums.groupBy("q").cogroup(tables.where("level = 1").groupBy("q")).applyInArrow(lambda key, a, b: _weigh(a, b), TABLE)
-    weighed.write.partitionBy("level").parquet(f"{path}/model")
-    tables.where("level = 2").write.partitionBy("level").mode("append").parquet(f"{path}/model")
-    common.release(spark)
+    with common.tidy(spark):
+        weighed.write.partitionBy("level").parquet(f"{path}/model")
+    # Level 2 stays where it was written first.
     return model
 
 
@@ -323,7 +323,8 @@ def _score(table: pa.Table, answers: pa.Table, model: Model) -> pa.Table:
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row."""
     buckets = model.buckets
-    tables = docs.sparkSession.read.schema(TABLE).parquet(f"{model.path}/model")
+    read = docs.sparkSession.read.schema(TABLE)
+    tables = read.parquet(f"{model.path}/model").where("level = 1").unionByName(read.parquet(f"{model.path}/counts").where("level = 2"))
     dealt, _ = deal(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
     asked = dealt.groupBy("_p").applyInArrow(lambda key, table: _ask(in_order(table, "doc_id", "text")[0], buckets, "text"), MAIL)
     told = asked.groupBy("q").cogroup(tables.groupBy("q")).applyInArrow(lambda key, a, b: _answer(a, b, False), MAIL)
