@@ -59,5 +59,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir), name)
-        common.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
