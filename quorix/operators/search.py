@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorix.functions import features
+from quorix.session import shared_dir
 
 SLICE_ROWS = 50_000
 _CELLS = 1 << 22
@@ -23,8 +24,9 @@ _CELLS = 1 << 22
 
 def slices(queries: DataFrame, by: str, rows: int = SLICE_ROWS) -> Iterator[list]:
     """The rows of a table in lists of bounded size, dealt by hash."""
-    total = queries.count()
-    parts = max(1, -(-total // rows))
+    shared_dir(queries.sparkSession)
+    queries = queries.checkpoint()  # a slice each is read from it
+    parts = max(1, -(-queries.count() // rows))
     for i in range(parts):
         yield (queries if parts == 1 else queries.where(F.pmod(F.xxhash64(by), F.lit(parts)) == i)).collect()
 
