@@ -53,8 +53,8 @@ def headers(files: DataFrame) -> DataFrame:
 
 
 def template_terms(spark) -> DataFrame:
-    rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
-    table = spark.createDataFrame(rows, "template int, license string, text string")
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)]
+    table = spark.range(1).select(F.inline(F.array(*rows)))
     return table.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
