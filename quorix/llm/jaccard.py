@@ -342,8 +342,9 @@ def _possible(u: np.ndarray, v: np.ndarray, sizes: np.ndarray, sketches: list[by
     for wu in np.unique(width[u]):
         for wv in np.unique(width[v]):
             rows = np.flatnonzero(out & (width[u] == wu) & (width[v] == wv))
-            for at in range(0, len(rows), 1 << 14):
-                part = rows[at : at + (1 << 14)]
+            step = max(1, (4 << 20) // int(max(wu, wv)))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
                 side = lambda x, w: np.frombuffer(b"".join(sketches[i] for i in x[part]), np.uint64).reshape(len(part), w // 8)  # noqa: B023, E731
                 out[part] = 7 * differing(side(u, wu), side(v, wv)) <= sizes[u[part]] + sizes[v[part]]
     return out
@@ -382,11 +383,14 @@ def _bucket_pairs(table: pa.Table, pivots: int, small: int, seed: int) -> pa.Tab
     place = np.arange(len(sig)) - start[group]
 
     def fold():
-        # The pairs met so far, each once with its count; an owner stands for one message's view of a node.
+        # The pairs met since the last time that may link join those kept; so memory holds a bounded number of others.
         nonlocal found, counts, held
-        code, count = np.unique(np.concatenate([found, *held]), return_counts=True)
-        count[np.searchsorted(code, found)] += counts - 1
-        found, counts, held = code, count, []
+        code, count = np.unique(np.concatenate([*held, np.empty(0, np.int64)]), return_counts=True)
+        keep = _possible(code >> np.int64(32), code & np.int64(0xFFFFFFFF), facts[:, 3], sketches) if len(code) else np.empty(0, bool)
+        every = np.concatenate([found, code[keep]])
+        found, back = np.unique(every, return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([counts, count[keep]]), minlength=len(found)).astype(np.int64)
+        held = []
 
     for k in range(int(most[mixed].max()) if mixed.any() else 0):
         # The k-th of each group against all behind it.
@@ -394,12 +398,11 @@ def _bucket_pairs(table: pa.Table, pivots: int, small: int, seed: int) -> pa.Tab
         pivot = start[group[at]] + k
         other = comp[at] != comp[pivot]
         held.append(owner[pivot[other]] << np.int64(32) | owner[at[other]])
-        if sum(map(len, held)) > 1 << 21:
+        if sum(map(len, held)) > 1 << 19:
             fold()
     fold()
     u, v = found >> np.int64(32), found & np.int64(0xFFFFFFFF)
-    keep = _possible(u, v, facts[:, 3], sketches) if len(found) else np.empty(0, bool)
-    out = pa.table([facts[u[keep], 0], facts[v[keep], 0], counts[keep]], schema=_PAIRS)
+    out = pa.table([facts[u, 0], facts[v, 0], counts], schema=_PAIRS)
     larger = bool((mixed & (size > small)).any())
     return pa.concat_tables([out, pa.table([[None], [None], [1]], schema=_PAIRS)]) if larger else out
 
