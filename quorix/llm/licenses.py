@@ -8,7 +8,7 @@ names the licence of its directory. A file without a header of its own inherits
 that has one: its ancestors are joined to the licensed directories by path.
 
 Only template terms can add to a dot product and their number is fixed, so that table is broadcast; the norm of
-a header is a sum over its own terms. Ancestors join by the directory of files, grouped before, so a directory with a
+a header is a sum over all its terms, each with its count over the headers of the whole table. Ancestors join by the directory of files, grouped before, so a directory with a
 third of all files is one row there.
 
 Cases: null texts and paths have no licence; equal cosines go to the first template by name; several licence files
@@ -38,6 +38,8 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
 )
 CUE = r"(?i)licen[sc]e|\bspdx\b|redistribution and use|permission is hereby granted"
+#: Terms of so many headers at least, and of a 20,000th of all counts, are joined by broadcast.
+FREQUENT = 100
 _SENTENCE = r"\n|(?<=[.!?])\s+"
 _TERM = r"[a-z0-9][a-z0-9+-]*(?:\.[0-9]+)*"
 
@@ -61,18 +63,26 @@ def template_terms(spark) -> DataFrame:
 def match_headers(found: DataFrame) -> DataFrame:
     """headers -> (_row, no, n_words, license, cosine) of each header's best template."""
     spark = found.sparkSession
+    found = common.cut(found)
     total = found.count()
     terms = found.select("_row", "no", F.size(F.split(F.trim("header"), r"\s+")).alias("n_words"), F.explode(_terms(F.col("header"))).alias("term"))
     counted = terms.groupBy("_row", "no", "n_words", "term").agg(F.count("*").alias("tf"))
+    known = common.cut(counted.groupBy("term").agg(F.count("*").alias("df")))
     templates = template_terms(spark)
-    # Template terms are a fixed list, so their document frequencies are too; any other term weighs as one seen once.
-    known = counted.join(F.broadcast(templates.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    ours = known.join(F.broadcast(templates.select("term").distinct()), "term", "left_semi")
     idf = lambda df: F.log(F.lit(1.0) + F.lit(float(total + 1)) / (F.lit(1.0) + df))
-    weights = common.cut(templates.join(known, "term", "left").withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0)))))
+    weights = common.cut(templates.join(ours, "term", "left").withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0)))))
     norms = weights.groupBy("template", "license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = weights.join(norms, ["template", "license"]).select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw"), idf(F.coalesce("df", F.lit(0))).alias("idf"))
-    by_term = weights.groupBy("term").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("template", "license", "tw")).alias("t"))
-    weighed = counted.join(F.broadcast(by_term), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", idf(F.lit(1))))
+    weights = weights.join(norms, ["template", "license"]).select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw"))
+    by_term = weights.groupBy("term").agg(F.collect_list(F.struct("template", "license", "tw")).alias("t"))
+    # Frequent terms are few, as their counts add up to the rows, and are broadcast with the templates' terms; all
+    # others are joined by term, where no term has many rows. Rows that need no such join get a key of their own.
+    often = max(FREQUENT, (known.agg(F.sum("df")).first()[0] or 0) // 20_000)
+    near = by_term.join(known.where(F.col("df") >= often), "term", "full").select("term", "t").join(known, "term", "left")
+    met = counted.join(F.broadcast(near.withColumnRenamed("df", "_df")), "term", "left")
+    met = met.withColumn("_key", F.when(F.col("_df").isNull(), F.col("term")).otherwise(F.concat_ws("\0", F.lit(""), "_row", "term")))
+    rare = known.where(F.col("df") < often).toDF("_key", "df")
+    weighed = met.join(rare, "_key", "left").withColumn("w", F.col("tf") * idf(F.coalesce("_df", "df")))
     length = weighed.groupBy("_row", "no", "n_words").agg(F.sum(F.col("w") * F.col("w")).alias("sq"), F.flatten(F.collect_list(F.transform("t", lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (t["tw"] * F.col("w")).alias("x"))))).alias("dots"))
     # A header has as many products as it has template terms; they are summed by template inside the row.
     dot = lambda i: F.aggregate(F.filter("dots", lambda d: d["template"] == i), F.lit(0.0), lambda a, d: a + d["x"])

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -353,6 +354,24 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "file_id string, path string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1, 50, 10**6])
+def test_licence_weights_count_every_term(spark, monkeypatch, frequent):
+    monkeypatch.setattr(licenses, "FREQUENT", frequent)
+    header = "This file of the Foo project is released under the MIT License."
+    rng = random.Random(4)
+    texts = [header] * 120 + [f"word{rng.randint(0, 30)} licence word{rng.randint(0, 9)}" for _ in range(60)]
+    got = licenses.match_headers(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "_row long, no int, header string")).collect()
+    terms = lambda t: collections.Counter(re.findall(licenses._TERM, t.lower()))
+    df = collections.Counter(w for t in texts for w in terms(t))
+    weights = lambda t: {w: n * math.log(1 + (len(texts) + 1) / (1 + df[w])) for w, n in terms(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for r in got:
+        v = weights(texts[r._row])
+        best = max(sum(v.get(w, 0) * x for w, x in u.items()) / norm(u) / norm(v) for u in (weights(t) for _, t in licenses.TEMPLATES))
+        assert r.cosine == pytest.approx(best, abs=1e-8)
+    assert len(got) == len(texts) and min(r.cosine for r in got if r._row < 120) >= 0.6
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 
 
