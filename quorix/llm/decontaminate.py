@@ -2,9 +2,9 @@
 
 A mask is a row of token places that count and places that are ignored. The items of a benchmark are hashed under
 all masks at all places, training texts under the same masks, and a common hash is a hit even if tokens at
-ignored places were substituted. Around each hit the item is laid over the text without shift and the best run is
-found: every part of it agrees in more than `share` of its tokens on balance. A run counts if it agrees in
-`least` tokens, or in as many as the item has.
+ignored places were substituted. Around each hit the item is laid over the text without shift. Of all runs that agree
+in at least `share` of their tokens the one with most agreeing tokens is judged. It counts if it agrees in `least` tokens,
+or in `share` of the item's tokens if these are fewer.
 
 The benchmark is the query set: it is sent to the executors in slices of bounded size, each slice against all rows,
 so texts are never shuffled and a benchmark of any size needs the same memory a task.
@@ -16,6 +16,7 @@ no rows. Other columns pass through `remove_contaminated` unchanged, whatever th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,18 +74,29 @@ class Probe:
             self.masks[mask] = (hashes[order], item[order], place[order], table)
 
     def best_run(self, item: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int, int] | None:
-        """The run (text token, item token, tokens, agreeing) of most weight where item[i] lies on text[i + shift]."""
+        """The run (text token, item token, tokens, agreeing) with most agreeing tokens of those that agree in `share`
+        of their tokens, where item[i] lies on text[i + shift]."""
         first, last = max(0, -shift), min(len(item), len(text) - shift)
         same = item[first:last] == text[first + shift : last + shift]
-        upto = np.r_[0, np.cumsum(np.where(same, 1 - self.share, -self.share))]
-        low = np.minimum.accumulate(upto)
-        end = int(np.argmax(upto - low))
-        begin = int(np.argmin(upto[: end + 1]))
-        agree = int(same[begin:end].sum())
-        if agree < min(self.least, len(item)):
+        agreed = np.r_[0, np.cumsum(same)]
+        if agreed[-1] < self.needed(len(item)):
             return None
+        # From each begin the furthest end that is no lower; the run loses its ends that do not agree.
+        over = agreed - self.share * np.arange(len(agreed))
+        furthest = np.maximum.accumulate(over[::-1])[::-1]
+        end = np.searchsorted(-furthest, 1e-9 - over, side="right") - 1
+        begin = int(np.argmax(agreed[end] - agreed))
+        agree = int(agreed[end[begin]] - agreed[begin])
+        if agree < self.needed(len(item)):
+            return None
+        inside = begin + np.flatnonzero(same[begin : end[begin]])
+        begin, end = int(inside[0]), int(inside[-1]) + 1
         return first + shift + begin, first + begin, end - begin, agree
 
+    def needed(self, n: int) -> int:
+        """The least agreeing tokens of an item of n."""
+        return max(1, min(self.least, math.ceil(self.share * n - 1e-9)))
+
     def search(self, column: pa.Array) -> list[list[dict]]:
         """For each text the items that overlap with it."""
         data, offsets = common.binary_column(column)

@@ -209,6 +209,24 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.overlaps(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 8, 13, 14, 15, 17, 20, 30, 59])
+def test_run_with_most_agreeing_tokens_is_judged(n):
+    rng = random.Random(n)
+    item = np.arange(n)
+    probe = decontaminate.Probe([], decontaminate.LEAST, decontaminate.SHARE)
+    for changed in [*range(n * 3 // 10 + 1), *(rng.randint(0, n) for _ in range(40))]:
+        text = np.r_[np.full(4, -1), item, np.full(4, -1)]
+        text[4 + np.array(rng.sample(range(n), changed), int)] = -1
+        same = [int(x) for x in text[4 : 4 + n] == item]
+        runs = [sum(same[a:b]) for a in range(n) for b in range(a + 1, n + 1) if 10 * sum(same[a:b]) >= 7 * (b - a)]
+        least = min(13, -(-7 * n // 10))
+        got = probe.best_run(item, text, 4)
+        assert (got[3] if got else None) == (max(runs) if runs and max(runs) >= least else None)
+        assert got or changed > n * 3 // 10
+        if got:
+            assert 10 * got[3] >= 7 * got[2] and got[3] == sum(same[got[1] : got[1] + got[2]]) and got[0] == got[1] + 4
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 
