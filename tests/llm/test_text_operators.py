@@ -227,6 +227,31 @@ def test_run_with_most_agreeing_tokens_is_judged(n):
             assert 10 * got[3] >= 7 * got[2] and got[3] == sum(same[got[1] : got[1] + got[2]]) and got[0] == got[1] + 4
 
 
+@pytest.mark.parametrize(("masks", "shortest"), [("MASKS", 13), ("SHORT_MASKS", 4)])
+def test_no_pattern_of_substitutions_is_without_a_hit(masks, shortest):
+    # fewest[s]: substitutions of the patterns so far that no mask hits, by their last 11 tokens.
+    masks = [int(m, 2) for m in getattr(decontaminate, masks)]
+    windows = np.arange(1 << 12)
+    hit = np.any([windows & m == m for m in masks], axis=0)
+    fewest = np.r_[0, np.full((1 << 11) - 1, 99)]
+    for n in range(1, 40):
+        cost = np.where(hit, 99, np.repeat(fewest, 2) + 1 - windows % 2)
+        fewest = np.minimum(cost[: 1 << 11], cost[1 << 11 :])
+        assert n < shortest or fewest.min() > n * 3 // 10
+
+
+def test_copies_within_the_share_are_found():
+    rng = random.Random(6)
+    items = [[f"w{rng.randint(0, 10**7)}" for _ in range(n)] for n in (4, 7, 10, 12, *range(13, 60), 200) for _ in range(8)]
+    probe = decontaminate.Probe([(i, " ".join(x).encode()) for i, x in enumerate(items)], decontaminate.LEAST, decontaminate.SHARE)
+    for pattern in (lambda n: range(3, n, 4), lambda n: rng.sample(range(n), n * 3 // 10)):
+        texts = []
+        for item in items:
+            gone = set(pattern(len(item)))
+            texts.append(" ".join(["a"] * 5 + ["other" if j in gone else w for j, w in enumerate(item)] + ["b"] * 5).encode())
+        assert [[r["item_id"] for r in found] for found in probe.search(pa.array(texts, pa.large_binary()))] == [[i] for i in range(len(items))]
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 
