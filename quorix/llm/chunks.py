@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text and cuts where it is small, so an ins
 and no others. The chunks' digests are compared over the whole table: documents lie in blocks, a block sends its
 distinct digests with their first document to hash buckets, and a bucket answers which of them an earlier document
 has. A chunk that appeared earlier (smaller id, or same text further left) is a repeat; runs of repeats of
-`least_run` bytes or more are removed. A very common chunk is one row of a block however often it appears.
+`least_run` bytes or more are removed; the query removes all, so of exact copies one stays, however short. A very common chunk is one row of a block however often it appears.
 
 Cases: null text has no chunks; equal ids count in the order of their text; null ids come after all others; a text
 shorter than the least chunk is one chunk; an empty table gives no rows. Only id and text are read.
@@ -153,4 +153,4 @@ def dedup(docs: DataFrame, least_run: int = 100, doc_id: str = "doc_id", text: s
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_run=1)

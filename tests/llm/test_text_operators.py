@@ -125,6 +125,24 @@ def test_chunk_cuts_survive_an_insertion():
     assert len(before - after) <= 8
 
 
+def test_chunk_query_removes_every_repeat(spark, rows):
+    rows = [(r[0], r[1]) for r in rows] + [(900, "a text of a few words"), (901, "a text of a few words")]
+    folder = new_folder(spark, "chunk-test")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{folder}/documents.parquet")
+    got = sorted(repr((r.doc_id, r.n_removed, r.kept_sha256)) for r in chunks.query(spark, folder).collect())
+    seen, want, short = set(), [], 0
+    for key, text in sorted(((r[0] if r[0] is not None else 1 << 62, r[1] or "") for r in rows), key=lambda x: (x[0], x[1].encode())):
+        data, begin, kept = text.encode(), 0, b""
+        for end in brute_chunks(data):
+            if data[begin:end] not in seen:
+                kept += data[begin:end]
+            seen.add(data[begin:end])
+            begin = end
+        short += 0 < len(data) < 100 and not kept
+        want.append(repr((None if key == 1 << 62 else key, len(data) - len(kept), hashlib.sha256(kept).hexdigest())))
+    assert got == sorted(want) and short
+
+
 # --- op2 ---------------------------------------------------------------------------------------
 
 
