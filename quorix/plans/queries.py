@@ -222,15 +222,26 @@ def kmeans_full_build(spark, sf_dir):
     return points.groupBy("bucket", "cluster_id").agg(F.count("*").alias("n_points"))
 
 
-def _index(spark, sf_dir):
+def _index(spark, sf_dir, **how):
     refs, queries = _pair(spark, sf_dir)
-    points, centroids = index.build(refs, iterations=1, spread=False)
+    points, centroids = index.build(refs, **how)
     return refs, queries, points.checkpoint(), centroids
 
 
-@registered
-def index_roundtrip(spark, sf_dir):
-    _, _, points, centroids = _index(spark, sf_dir)
+def over_index(f):
+    """Registers f over the index that the SQL unrolls (strided seeds, one step), and as NAME_built over build() as it is."""
+    for name, how in ((f.__name__, {"iterations": 1, "spread": False}), (f"{f.__name__}_built", {})):
+
+        def run(spark, sf_dir, how=how):
+            return f(spark, sf_dir, *_index(spark, sf_dir, **how))
+
+        run.__name__ = name
+        registered(run)
+    return f
+
+
+@over_index
+def index_roundtrip(spark, sf_dir, refs, queries, points, centroids):
     path = new_folder(spark, "index")
     index.write(points, centroids, path)
     points, centroids = index.read(spark, path)
@@ -238,21 +249,18 @@ def index_roundtrip(spark, sf_dir):
     return points.groupBy("bucket").agg(F.count("*").alias("cnt"), F.count_if("fraud").alias("frauds")).join(clusters, "bucket").select(F.col("bucket").cast("int").alias("bucket"), "cnt", "frauds", "clusters")
 
 
-@registered
-def ivf_probe_list(spark, sf_dir):
-    _, queries, _, centroids = _index(spark, sf_dir)
+@over_index
+def ivf_probe_list(spark, sf_dir, refs, queries, points, centroids):
     return search.probe_list(queries, centroids, 6)
 
 
-@registered
-def ivf_knn(spark, sf_dir):
-    _, queries, points, centroids = _index(spark, sf_dir)
+@over_index
+def ivf_knn(spark, sf_dir, refs, queries, points, centroids):
     return search.vote(queries, search.search_clusters(points, centroids, queries))
 
 
-@registered
-def ivf_scan_counters(spark, sf_dir):
-    _, queries, points, centroids = _index(spark, sf_dir)
+@over_index
+def ivf_scan_counters(spark, sf_dir, refs, queries, points, centroids):
     sizes = points.groupBy("bucket", "cluster_id").agg(F.count("*").alias("n"))
     scanned = search.probe_list(queries, centroids, 6).join(sizes, ["bucket", "cluster_id"], "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("points"))
     per_bucket = centroids.groupBy("bucket").agg(F.count("*").alias("c"))
@@ -268,9 +276,8 @@ def confirm_extreme(spark, sf_dir):
     return every.select("request_id", features.is_extreme(F.col("bucket"), {c: F.col(c) for c in every.columns}).alias("extreme"))
 
 
-@registered
-def adaptive_policy(spark, sf_dir):
-    _, queries, points, centroids = _index(spark, sf_dir)
+@over_index
+def adaptive_policy(spark, sf_dir, refs, queries, points, centroids):
     r = _requests(spark, sf_dir).where("request_id % 20 = 0")
     flags = r.select(F.col("request_id").alias("query_id"), features.is_extreme(F.col("bucket"), {c: F.col(c) for c in r.columns}).alias("extreme"))
     return search.search_adaptive(points, centroids, queries.join(flags, "query_id").checkpoint())
@@ -335,9 +342,8 @@ def parity_bucket_vs_full(spark, sf_dir):
     return both.agg(F.count("*").alias("total"), F.count_if(F.col("frauds") != F.col("f")).alias("count_mismatch"), F.count_if(F.col("approved") != F.col("a")).alias("approved_mismatch"))
 
 
-@registered
-def recall_ivf(spark, sf_dir):
-    refs, queries, points, centroids = _index(spark, sf_dir)
+@over_index
+def recall_ivf(spark, sf_dir, refs, queries, points, centroids):
     full = search.search_full(refs, queries).select("query_id", "ref_id")
     found = search.search_clusters(points, centroids, queries).select("query_id", "ref_id", F.lit(1).alias("hit"))
     return full.join(found, ["query_id", "ref_id"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quorix.functions import features
 from quorix.operators import index, search
+from quorix.plans import queries
 from quorix.plans.queries import _payloads
 from quorix.session import new_folder
 from quorix.sources import fixtures
@@ -100,6 +101,43 @@ def test_index_tables(spark, pair):
         index.read(spark, f"{path}2")
 
 
+def test_searches_over_the_full_index(spark, monkeypatch):
+    # All six over one index with the defaults of build(), against plain numpy.
+    folder, how = "/root/testdata/sf0.01", []
+    built = queries._index(spark, folder)
+    monkeypatch.setattr(queries, "_index", lambda spark, sf_dir, **kw: how.append(kw) or built)
+    run = lambda name: queries.QUERIES[f"{name}_built"](spark, folder).collect()
+    refs, asked, points, centroids = built
+    table = lambda df, names: np.array(df.select(*names).collect(), np.int64)
+    centres = table(centroids, ["bucket", "cluster_id", *search.COARSE])
+    stored = table(search.with_coarse(points), ["bucket", "cluster_id", "ref_id", F.col("fraud").cast("int"), *search.COARSE, *search.STORED])
+    wanted = table(search.with_coarse(asked), ["query_id", "bucket", *search.COARSE, *search.STORED])
+    n = len(search.COARSE)
+
+    def found(q, probes):
+        near = centres[centres[:, 0] == q[1]]
+        order = np.lexsort((near[:, 1], ((near[:, 2:] - q[2 : 2 + n]) ** 2).sum(1)))[:probes]
+        own = stored[(stored[:, 0] == q[1]) & np.isin(stored[:, 1], near[order, 1])]
+        scanned, own = len(own), own[own[:, 2] != q[0]]
+        own = own[np.lexsort((own[:, 2], ((own[:, 4 : 4 + n] - q[2 : 2 + n]) ** 2).sum(1)))[:16]]
+        own = own[np.lexsort((own[:, 2], ((own[:, 4 + n :] - q[2 + n :]) ** 2).sum(1)))[:5]]
+        return near[order, 1].tolist(), scanned, own[:, 2].tolist(), int(own[:, 3].sum())
+
+    want = {int(q[0]): found(q, 6) for q in wanted}
+    assert centres.shape[0] > 50 and max(len(x[0]) for x in want.values()) == 6
+    assert {(r.query_id, r.rn, r.cluster_id) for r in run("ivf_probe_list")} == {(q, i + 1, c) for q, x in want.items() for i, c in enumerate(x[0])}
+    assert {r.query_id: r.frauds for r in run("ivf_knn")} == {q: x[3] for q, x in want.items()}
+    assert run("ivf_scan_counters")[0].points == sum(x[1] for x in want.values())
+    full = search.search_full(refs, asked).select("query_id", "ref_id").collect()
+    recall = run("recall_ivf")[0]
+    assert (recall.wanted, recall.found) == (len(full), sum(r.ref_id in want[r.query_id][2] for r in full))
+    assert {r.bucket: (r.cnt, r.clusters) for r in run("index_roundtrip")} == {b: ((stored[:, 0] == b).sum(), (centres[:, 0] == b).sum()) for b in set(stored[:, 0].tolist())}
+    again = {int(q[0]): found(q, 192)[3] for q in wanted}
+    adaptive = run("adaptive_policy")
+    assert {r.query_id: r.frauds for r in adaptive} == {r.query_id: again[r.query_id] if r.confirmed else want[r.query_id][3] for r in adaptive}
+    assert len(adaptive) == len(want) and any(r.confirmed for r in adaptive) and how == [{}] * 6
+
+
 def test_stream_equals_batch(spark, pair):
     refs, _ = pair
     source, target, marks = (new_folder(spark, x) for x in ("in", "out", "marks"))
