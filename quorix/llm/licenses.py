@@ -3,8 +3,9 @@
 
 The sentences of a text that carry a licence cue are its headers. Headers and templates are vectors of terms,
 weighted by frequency and by how few headers of the whole table have the term; the template of the largest cosine
-names the licence if it reaches `least`. A file whose headers are at least half of its words is a licence file, and
-names the licence of its directory. A file without a header of its own inherits from the nearest directory above it
+names the licence if it reaches `least`. Files with a cue or the name of a licence file are compared as a whole with the
+texts of licences in the same way; `least_whole` decides. Files that are a licence's text, that have a licence file's name and a
+licence, or whose headers are at least half of their words are licence files, and name the licence of their directory. A file without a header of its own inherits from the nearest directory above it
 that has one: its ancestors are joined to the licensed directories by path.
 
 Only template terms can add to a dot product and their number is fixed, so that table is broadcast; the norm of
@@ -18,6 +19,9 @@ tables give no rows. Of the input only the id, path and text columns are used.
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,8 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
 )
 CUE = r"(?i)licen[sc]e|\bspdx\b|redistribution and use|permission is hereby granted"
+#: Names of licence files.
+NAME = r"(?i)(^|/)(un)?(licen[sc]es?|copying)([._-][^/]*)?$"
 #: Terms of so many headers at least, and of a 20,000th of all counts, are joined by broadcast.
 FREQUENT = 100
 _SENTENCE = r"\n|(?<=[.!?])\s+"
@@ -48,27 +54,33 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
 
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Names and whole texts of licences, as they lie beside this file."""
+    return tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
 def headers(files: DataFrame) -> DataFrame:
     """(_row, header number, header) of the sentences with a cue."""
     sentences = F.filter(F.split("text", _SENTENCE), lambda s: s.rlike(CUE))
     return files.where(F.col("text").rlike(CUE)).select("_row", F.posexplode(sentences).alias("no", "header"))
 
 
-def template_terms(spark) -> DataFrame:
-    rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(TEMPLATES)]
+def template_terms(spark, templates: tuple = TEMPLATES) -> DataFrame:
+    rows = [F.struct(F.lit(i).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for i, (name, text) in enumerate(templates)]
     table = spark.range(1).select(F.inline(F.array(*rows)))
     return table.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def match_headers(found: DataFrame) -> DataFrame:
-    """headers -> (_row, no, n_words, license, cosine) of each header's best template."""
+def match_headers(found: DataFrame, against: tuple = TEMPLATES) -> DataFrame:
+    """headers (or whole texts) -> (_row, no, n_words, license, cosine) of each header's best template."""
     spark = found.sparkSession
     found = common.cut(found)
     total = found.count()
     terms = found.select("_row", "no", F.size(F.split(F.trim("header"), r"\s+")).alias("n_words"), F.explode(_terms(F.col("header"))).alias("term"))
     counted = terms.groupBy("_row", "no", "n_words", "term").agg(F.count("*").alias("tf"))
     known = common.cut(counted.groupBy("term").agg(F.count("*").alias("df")))
-    templates = template_terms(spark)
+    templates = template_terms(spark, against)
     ours = known.join(F.broadcast(templates.select("term").distinct()), "term", "left_semi")
     idf = lambda df: F.log(F.lit(1.0) + F.lit(float(total + 1)) / (F.lit(1.0) + df))
     weights = common.cut(templates.join(ours, "term", "left").withColumn("w", F.col("tf") * idf(F.coalesce("df", F.lit(0)))))
@@ -86,20 +98,25 @@ def match_headers(found: DataFrame) -> DataFrame:
     length = weighed.groupBy("_row", "no", "n_words").agg(F.sum(F.col("w") * F.col("w")).alias("sq"), F.flatten(F.collect_list(F.transform("t", lambda t: F.struct(t["template"].alias("template"), t["license"].alias("license"), (t["tw"] * F.col("w")).alias("x"))))).alias("dots"))
     # A header has as many products as it has template terms; they are summed by template inside the row.
     dot = lambda i: F.aggregate(F.filter("dots", lambda d: d["template"] == i), F.lit(0.0), lambda a, d: a + d["x"])
-    best = F.array_max(F.array(*[F.struct(F.round(dot(i) / F.sqrt("sq"), 9).alias("cosine"), F.lit(-i).alias("i"), F.lit(name).alias("license")) for i, (name, _) in enumerate(TEMPLATES)]))
+    best = F.array_max(F.array(*[F.struct(F.round(dot(i) / F.sqrt("sq"), 9).alias("cosine"), F.lit(-i).alias("i"), F.lit(name).alias("license")) for i, (name, _) in enumerate(against)]))
     return length.select("_row", "no", "n_words", best.alias("b")).select("_row", "no", "n_words", "b.license", "b.cosine")
 
 
-def scan(files: DataFrame, least: float = 0.6, file_id: str = "file_id", path: str = "path", text: str = "text") -> DataFrame:
+def scan(files: DataFrame, least: float = 0.6, least_whole: float = 0.8, file_id: str = "file_id", path: str = "path", text: str = "text") -> DataFrame:
     """file_id, path, own_license, cosine, license and license_dir (where it comes from; null: own or none)."""
     picked = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
     picked = picked.withColumn("_row", F.xxhash64("file_id", "path", "text"))
-    matched = match_headers(headers(picked.select("_row", "text").dropDuplicates(["_row"]))).where(F.col("cosine") >= least)
+    candidates = common.cut(picked.select("_row", "path", "text").dropDuplicates(["_row"]).where(F.col("text").rlike(CUE) | F.col("path").rlike(NAME)))
+    matched = match_headers(headers(candidates)).where(F.col("cosine") >= least)
+    whole = match_headers(candidates.select("_row", F.lit(0).alias("no"), F.col("text").alias("header")), full_texts()).where(F.col("cosine") >= least_whole)
+    whole = whole.select("_row", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
     own = matched.groupBy("_row").agg(F.max(F.struct("cosine", (-F.col("no")).alias("no"), "license")).alias("b"), F.sum("n_words").alias("header_words"))
-    own = own.select("_row", "b.license", "b.cosine", "header_words")
+    own = own.select("_row", "b.license", "b.cosine", "header_words").join(whole, "_row", "full")
+    own = own.select("_row", F.coalesce("whole", "license").alias("license"), F.coalesce("whole_cosine", "cosine").alias("cosine"), "header_words", F.col("whole").isNotNull().alias("is_text"))
     named = picked.select("_row", "file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), common.word_count(F.col("text")).alias("n_words"))
     judged = common.cut(named.join(own, "_row", "left"))
-    of_dir = judged.where("license is not null and path is not null and 2 * header_words >= n_words").groupBy("dir").agg(
+    is_file = F.col("is_text") | F.col("path").rlike(NAME) | (2 * F.col("header_words") >= F.col("n_words"))
+    of_dir = judged.where("license is not null and path is not null").where(is_file).groupBy("dir").agg(
         F.min_by("license", F.struct(-F.col("cosine"), "path")).alias("dir_license"))
     dirs = judged.where("license is null and path is not null").select("dir").distinct()
     parts = F.split("dir", "/")

@@ -433,6 +433,20 @@ def test_licence_weights_count_every_term(spark, monkeypatch, frequent):
     assert len(got) == len(texts) and min(r.cosine for r in got if r._row < 120) >= 0.6
 
 
+def test_whole_licence_texts_name_their_directory(spark):
+    full = {name: text.replace("<year> <copyright holders>", "2021 Foo Corporation") for name, text in licenses.full_texts()}
+    rows = [
+        ("1", "m/LICENSE", full["MIT"]), ("2", "m/x.py", "nothing said"), ("3", "g/COPYING", " ".join(full["GPL-3.0"].split())), ("4", "g/a/b/y.py", "nothing said"), ("5", "t/terms.txt", full["Apache-2.0"]),
+        ("6", "t/z.py", None), ("7", "n/licence.md", "About us.\nReleased under the MIT License.\n" + "many other words " * 30), ("8", "n/w.py", "nothing said"), ("9", "b/LICENSE.txt", full["BSD-3-Clause"]),
+        ("10", "b/v.py", ""), ("11", "o/LICENSE", "ask the owner"), ("12", "o/u.py", "nothing said"), ("13", "p/readme.md", "About us.\nReleased under the MIT License.\n" + "many other words " * 30), ("14", "p/s.py", "nothing said"),
+    ]
+    got = {r.file_id: (r.license, r.license_dir) for r in licenses.scan(spark.createDataFrame(rows, "file_id string, path string, text string")).collect()}
+    assert got == {
+        "1": ("MIT", None), "2": ("MIT", "m"), "3": ("GPL-3.0", None), "4": ("GPL-3.0", "g"), "5": ("Apache-2.0", None), "6": ("Apache-2.0", "t"), "7": ("MIT", None),
+        "8": ("MIT", "n"), "9": ("BSD-3-Clause", None), "10": ("BSD-3-Clause", "b"), "11": (None, None), "12": (None, None), "13": ("MIT", None), "14": (None, None),
+    }
+
+
 # --- op8 ---------------------------------------------------------------------------------------
 
 
