@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+#: Rows of text differ in length by orders of magnitude, so a number of rows bounds no batch.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
 def build_session(name: str = "quorix", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,8 +30,12 @@ def build_session(name: str = "quorix", master: str | None = None, **conf: str)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives the executors' Python this package, once a context; Spark serves the file from the driver."""
+    """Gives the executors' Python this package, once a context; Spark serves the file from the driver. Batches for Python
+    are bounded by bytes, unless the session says how."""
     context = spark.sparkContext
+    for key, value in ARROW.items():
+        if not context.getConf().contains(key):
+            spark.conf.set(key, value)
     if not getattr(context, "_quorix_shipped", False):
         top = Path(__file__).resolve().parent
         target = os.path.join(tempfile.mkdtemp(prefix="quorix-"), "quorix.zip")
@@ -42,12 +48,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where one machine does all, an own
+    folder where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorix-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
