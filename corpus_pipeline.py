@@ -32,13 +32,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     count = common.fresh("_removed", docs.columns)
     cut = suffixes.remove_repeats(docs, count)
     emptied = (F.col(count) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD_PATTERN)
-    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else common.named(c) for c in docs.columns]
     return cut.where(~emptied).select(*columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with an item of the benchmark go."""
-    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=decontaminate.SHORTEST)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
