@@ -44,9 +44,10 @@ def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def deal(docs: DataFrame, doc_id: str, text: str, block_bytes: int = 8 << 20, name: str = "_p") -> tuple[DataFrame, int]:
-    """docs with their block in column `name`, and the number of blocks; rows with equal ids share a block."""
+    """docs with their block in column `name`, and the number of blocks. Id and text decide, so rows of one id, or
+    without one, spread over the blocks."""
     blocks = common.blocks_for(common.text_bytes(docs, text), docs.sparkSession, block_bytes)
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text))))
+    key = F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
     return docs.withColumn(name, F.pmod(key, F.lit(blocks)).cast("int")), blocks
 
 

@@ -6,7 +6,9 @@ distinct digests with their first document to hash buckets, and a bucket answers
 has. A chunk that appeared earlier (smaller id, or same text further left) is a repeat; runs of repeats of
 `least_run` bytes or more are removed; the query removes all, so of exact copies one stays, however short. A very common chunk is one row of a block however often it appears.
 
-Cases: null text has no chunks; equal ids count in the order of their text; null ids come after all others; a text
+Chunks are equal if their 128-bit blake2b digests are.
+
+Cases: null text has no chunks; equal ids count in the order of a hash of their text, then of the text; null ids come after all others; a text
 shorter than the least chunk is one chunk; an empty table gives no rows. Only id and text are read.
 """
 
@@ -17,14 +19,12 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 from .blocks import MAIL, bucket_slices, deal, in_order, mail, planes, unplanes
 
 LEAST, MEAN_REST, MOST = 32, 32, 512
 _GEAR = (common.byte_table(77) >> np.uint64(32)).astype(np.uint32)
-_DIGEST = common.RollingHash(seed=12)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -80,16 +80,22 @@ class Chunks:
             begins, ends = np.array(begins, np.int64), np.array(ends, np.int64)
             first.append(begins)
             last.append(ends)
-            prefix = _DIGEST.prefix(part)
-            digest.append(common.mix64(_DIGEST.substrings(prefix, begins - base, ends - base) + (ends - begins).astype(np.uint64)))
+            digest.append(common.digests(part, begins - base, ends - base))
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self.first, self.last, digests = join(first, np.int64), join(last, np.int64), join(digest, np.uint64)
-        # Distinct digests in order, each with its first chunk.
-        self.distinct, self.at, self.back = np.unique(digests, return_index=True, return_inverse=True)
+        self.first, self.last = join(first, np.int64), join(last, np.int64)
+        digests = np.concatenate(digest) if digest else np.empty((0, 2), np.uint64)
+        # Distinct digests in order, each with its first chunk; most are told apart by their first half.
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        ranked = digests[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+        self.distinct, self.at = ranked[new], order[new]
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
 
     def names(self, buckets: int) -> list[tuple[int, int, bytes]]:
         doc = self.ids[np.searchsorted(self.offsets, self.first[self.at], side="right") - 1] if len(self.at) else self.at
-        return [(q, b - a, planes(self.distinct[a:b], 8) + doc[a:b].tobytes()) for q, a, b in bucket_slices(self.distinct, buckets)]
+        return [(q, b - a, planes(self.distinct[a:b, 0], 8) + self.distinct[a:b, 1].tobytes() + doc[a:b].tobytes()) for q, a, b in bucket_slices(self.distinct[:, 0], buckets)]
 
     def repeats(self, codes: np.ndarray) -> np.ndarray:
         """Whether each chunk appeared earlier."""
@@ -102,10 +108,11 @@ def _compare(table: pa.Table) -> pa.Table:
     """Digests of all blocks for one bucket -> for each whether a block with an earlier document has it."""
     q, p, n, blobs = (table[c].to_pylist() for c in ("q", "p", "n", "blob"))
     digest = np.concatenate([unplanes(b, k, 8) for b, k in zip(blobs, n, strict=True)])
-    doc = np.concatenate([np.frombuffer(b, np.int64, k, 8 * k) for b, k in zip(blobs, n, strict=True)])
-    order = np.lexsort((np.repeat(np.array(p), n), doc, digest))
+    rest = np.concatenate([np.frombuffer(b, np.uint64, k, 8 * k) for b, k in zip(blobs, n, strict=True)])
+    doc = np.concatenate([np.frombuffer(b, np.int64, k, 16 * k) for b, k in zip(blobs, n, strict=True)])
+    order = np.lexsort((np.repeat(np.array(p), n), doc, rest, digest))
     later = np.zeros(len(order), bool)
-    later[order[1:]] = digest[order[1:]] == digest[order[:-1]]
+    later[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (rest[order[1:]] == rest[order[:-1]])
     return mail([(a, b, k, np.packbits(x).tobytes()) for a, b, k, x in zip(q, p, n, np.split(later, np.cumsum(n)[:-1]), strict=True)])
 
 
@@ -133,7 +140,7 @@ def _finish(chunks: Chunks, codes: np.ndarray, least_run: int) -> pa.Table:
 
 def dedup(docs: DataFrame, least_run: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, spans (removed, in bytes) and kept_sha256 of every row."""
-    dealt, blocks = deal(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    dealt, blocks = deal(docs.select(common.named(doc_id).alias("doc_id"), common.named(text).alias("text")), "doc_id", "text")
 
     def build(table):
         return Chunks(table.drop_columns(["_p"]), "doc_id", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,6 +27,11 @@ def fresh(wanted: str, columns: list[str]) -> str:
     return wanted
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 #: Lets Spark delete a query's shuffle files when it ends; else they stay until the driver collects its garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -107,10 +113,62 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(base * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+#: Strings of more bytes than this are hashed one by one.
+_LANES = 64
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as one number, without a copy; data ends with 8 bytes to spare."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data.data, strides=(1,))
+
+
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of data[start:end] for arrays of bounds: 8 bytes at a time, each folded in by a multiplication and
+    a full mix, so that no arrangement of the bytes cancels out; long strings by blake2b."""
+    size = (end - start).astype(np.int64)
+    out = mix64(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)))
+    lanes = _lanes(np.concatenate([data, np.zeros(8, np.uint8)]))
+    rows = np.flatnonzero(size <= 8 * _LANES)
+    for j in range(int(-(-size[rows].max() // 8)) if len(rows) else 0):
+        if j:
+            rows = rows[size[rows] > 8 * j]
+        lane = lanes[start[rows] + 8 * j] & _LANE_MASK[np.minimum(size[rows] - 8 * j, 8)]
+        out[rows] = mix64((out[rows] ^ lane) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA24BAED4963EE407))
+    for i in np.flatnonzero(size > 8 * _LANES).tolist():
+        name = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=str(seed).encode()).digest()
+        out[i] = np.frombuffer(name, np.uint64)[0]
+    return out
+
+
+def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] and data[b:b+size] agree in every byte, for arrays of places."""
+    out = np.ones(len(a), bool)
+    lanes = _lanes(np.concatenate([data, np.zeros(8, np.uint8)]))
+    rows, j = np.flatnonzero((size > 0) & (a != b)), 0
+    while len(rows):
+        mask = _LANE_MASK[np.minimum(size[rows] - 8 * j, 8)]
+        same = ((lanes[a[rows] + 8 * j] ^ lanes[b[rows] + 8 * j]) & mask) == 0
+        out[rows[~same]] = False
+        j += 1
+        rows = rows[same & (size[rows] > 8 * j)]
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit blake2b digests of data[start:end], as rows of two numbers: equality of these counts as equality."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    names = [blake(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(names), np.uint64).reshape(-1, 2)
+
+
 class RollingHash:
     """Polynomial hash modulo 2**64 of every substring of a buffer, from prefix sums.
 
-    hash(i, j) depends on the bytes i..j-1 alone: sum of table[byte] * P**(j-1-k), mixed.
+    hash(i, j) depends on the bytes i..j-1 alone: sum of table[byte] * P**(j-1-k), mixed. Different strings can be made
+    to agree, so it deals strings to places and never decides that two are equal.
     """
 
     def __init__(self, seed: int = 1, multiplier: int = 0xD6E8FEB86659FD93):

@@ -37,6 +37,8 @@ MASKS = ("101111", "111011", "11001011", "111010001", "1000010111", "11100100000
 SHORT_MASKS = ("111", "1011", "1101")
 FULL = 13
 LEAST, SHARE = 13, 0.7
+#: Items of fewer tokens say too little to condemn a document by: the registered query and the pipeline leave them out.
+SHORTEST = 8
 SLICE_BYTES = 4 << 20
 _TABLE_BITS = np.uint64(20)
 FOUND = "array<struct<item_id: long, text_token: long, item_token: long, n_tokens: long, n_matched: long>>"
@@ -59,10 +61,9 @@ class Probe:
 
     def __init__(self, items: list[tuple[int, bytes]], least: int, share: float):
         self.least, self.share, self.items = least, share, []
-        roll = common.RollingHash(seed=3)
         found: dict[str, list] = {}
         for item, text in items:
-            words, _ = word_hashes(np.frombuffer(text, np.uint8), roll)
+            words, _ = word_hashes(np.frombuffer(text, np.uint8), 3)
             if not len(words):
                 continue
             self.items.append((item, words))
@@ -106,12 +107,11 @@ class Probe:
         """For each text the items that overlap with it."""
         data, offsets = common.binary_column(column)
         out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-        roll = common.RollingHash(seed=3)
         for first, last in common.pieces(offsets, 1 << 20):
             base = offsets[first]
             ends = offsets[first + 1 : last + 1] - base
             joined = np.insert(data[base : offsets[last]], ends, 32)
-            words, start = word_hashes(joined, roll)
+            words, start = word_hashes(joined, 3)
             bounds = np.r_[0, np.searchsorted(start, ends + np.arange(1, last - first + 1))]
             hits = set()
             for mask, (hashes, item, place, table) in self.masks.items():
@@ -134,9 +134,10 @@ class Probe:
         return out
 
 
-def item_slices(benchmark: DataFrame, item_id: str, text: str, slice_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+def item_slices(benchmark: DataFrame, item_id: str, text: str, slice_bytes: int, shortest: int) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark in slices of about slice_bytes, dealt by hash of the id."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
+    long_enough = common.word_count(common.named(text)) >= shortest
+    items = benchmark.where(long_enough).select(common.named(item_id).cast("long").alias("i"), common.named(text).cast("binary").alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = max(1, -(-int(total) // slice_bytes))
     for k in range(slices):
@@ -153,25 +154,26 @@ def _searcher(shared, least: int, share: float):
     return run
 
 
-def overlap_column(docs: DataFrame, text: Column, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> Column:
-    """For each text the overlapping items, as an array; one Python pass for each slice of the benchmark."""
+def overlap_column(docs: DataFrame, text: Column, benchmark: DataFrame, least: int = LEAST, share: float = SHARE, item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES, shortest: int = 1) -> Column:
+    """For each text the overlapping items of at least `shortest` tokens, as an array; one Python pass for each slice of
+    the benchmark."""
     context = docs.sparkSession.sparkContext
     found = []
-    for items in item_slices(benchmark, item_id, item_text, slice_bytes):
+    for items in item_slices(benchmark, item_id, item_text, slice_bytes, shortest):
         found.append(F.pandas_udf(_searcher(context.broadcast(items), least, share), FOUND)(F.coalesce(text, F.lit("")).cast("binary")))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **rule) -> DataFrame:
     """doc_id, item_id, text_token, item_token, n_tokens, n_matched: one row for each text and item that overlap."""
-    column = overlap_column(docs, F.col(text), benchmark, **rule)
-    return docs.select(F.col(doc_id).alias("doc_id"), column.alias("_found")).select("doc_id", F.inline("_found"))
+    column = overlap_column(docs, common.named(text), benchmark, **rule)
+    return docs.select(common.named(doc_id).alias("doc_id"), column.alias("_found")).select("doc_id", F.inline("_found"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **rule) -> DataFrame:
     """The rows of docs whose text overlaps with no item."""
-    return docs.where(F.size(overlap_column(docs, F.col(text), benchmark, **rule)) == 0)
+    return docs.where(F.size(overlap_column(docs, common.named(text), benchmark, **rule)) == 0)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shortest=SHORTEST)

@@ -42,17 +42,17 @@ from pyspark.sql import functions as F
 
 from . import common
 from .blocks import MAIL, bucket_slices, mail, planes, unplanes
-from .graph import components
+from .graph import components, spread_join
 
 BLOCK_BYTES = 12 << 20
 SIGNATURE_BYTES = 8 << 20
 _STEP = tuple(np.uint64(x) for x in common.mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1))
 
 
-def word_hashes(data: np.ndarray, roll: common.RollingHash) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of a buffer, A-Z lowered, and where it starts."""
     start, end = common.word_bounds(data)
-    return roll.substrings(roll.prefix(common.LOWER[data]), start, end), start
+    return common.string_hashes(common.LOWER[data], start, end, seed), start
 
 
 def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -70,13 +70,12 @@ def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     data, offsets = common.binary_column(column)
-    roll = common.RollingHash(seed=10)
     for first, last in common.pieces(offsets, 1 << 20):
         base = offsets[first]
         part = data[base : offsets[last]]
         # A separator after each text keeps its last word from meeting the next text.
         joined = np.insert(part, offsets[first + 1 : last + 1] - base, 32)
-        words, start = word_hashes(joined, roll)
+        words, start = word_hashes(joined, 10)
         ends = offsets[first + 1 : last + 1] - base + np.arange(1, last - first + 1)
         upto = np.searchsorted(start, ends)
         at = 0
@@ -98,10 +97,10 @@ _SENT = pa.schema([("q", pa.int32()), ("block", pa.int64()), ("n", pa.int32()),
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int, width: int, shingle: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of (doc_id, text) -> for each bucket the block's shingles and their documents; q < 0: the documents."""
+    """Blocks of (doc_id, text, mark) -> for each bucket the block's shingles and their documents; q < 0: the documents."""
     part, seq = TaskContext.get().partitionId(), 0
 
-    def flush(ids, sets):
+    def flush(ids, marks, sets):
         nonlocal seq
         block, seq = (part << 20) + seq, seq + 1
         nodes = [set_id(s) for s in sets]
@@ -110,7 +109,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, width: int, shingle:
             if len(sets[i]):
                 first.setdefault(node, i)
         own = sorted(first.values())
-        info = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(np.isin(np.arange(len(ids)), own))], names=["doc_id", "n", "node", "own"])
+        info = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(np.isin(np.arange(len(ids)), own))], names=["doc_id", "mark", "n", "node", "own"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, info.schema) as out:
             out.write_batch(info)
@@ -125,18 +124,19 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, width: int, shingle:
                 rows.append((q, block, b - a, planes(values[a:b], width) + ids_blob))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
-    ids, sets, held = [], [], 0
+    ids, marks, sets, held = [], [], [], 0
     for batch in batches:
         ids += batch.column(0).to_pylist()
+        marks += batch.column(2).to_pylist()
         for s in shingle_sets(batch.column(1), shingle):
             sets.append(s)
             held += 8 * len(s) + 64
             if held >= BLOCK_BYTES * 2:
                 k = len(sets)
-                yield flush(ids[:k], sets)
-                ids, sets, held = ids[k:], [], 0
+                yield flush(ids[:k], marks[:k], sets)
+                ids, marks, sets, held = ids[k:], marks[k:], [], 0
     if sets:
-        yield flush(ids, sets)
+        yield flush(ids, marks, sets)
 
 
 _ANSWER = pa.schema([("block", pa.int64()), ("blob", pa.binary()), ("info", pa.bool_())])
@@ -166,7 +166,7 @@ def _answer(key, table: pa.Table, width: int) -> pa.Table:
 
 
 def _collect(key, table: pa.Table) -> pa.Table:
-    """The answers to one block and its documents -> (doc_id, n, node, own, repeated)."""
+    """The answers to one block and its documents -> (doc_id, mark, n, node, own, repeated)."""
     info, total = None, None
     pairs = list(zip(table["info"].to_pylist(), table["blob"].to_pylist(), strict=True))
     info = pa.ipc.open_stream(next(b for flag, b in pairs if flag)).read_all()
@@ -178,16 +178,21 @@ def _collect(key, table: pa.Table) -> pa.Table:
     return info.append_column("repeated", pa.array(total))
 
 
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(common.named(doc_id).cast("long").alias("doc_id"), common.named(text).alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
 def document_nodes(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, node, own (first of its node in its block), repeated (for own rows: shingles seen in two nodes)."""
+    """doc_id, mark (a hash of the text), n, node, own (first of its node in its block), repeated (for own rows: shingles
+    seen in two nodes)."""
     spark = docs.sparkSession
-    picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    picked = _texts(docs, doc_id, text)
     size = common.text_bytes(picked, "text")
     buckets = common.blocks_for(size, spark)
     width = min(8, max(5, (int(size).bit_length() + 17) // 8))
     sent = picked.mapInArrow(functools.partial(_send, buckets=buckets, width=width, shingle=shingle), "q int, block long, n int, blob binary")
     answers = sent.groupBy("q").applyInArrow(lambda key, table: _answer(key, table, width), "block long, blob binary, info boolean")
-    return answers.groupBy("block").applyInArrow(lambda key, table: _collect(key, table), "doc_id long, n long, node long, own boolean, repeated long")
+    return answers.groupBy("block").applyInArrow(lambda key, table: _collect(key, table), "doc_id long, mark long, n long, node long, own boolean, repeated long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -484,38 +489,47 @@ def node_components(sets: DataFrame, buckets: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (id of the set, 0 for empty) and component_id of every row of docs."""
+    """doc_id, n_shingles, component_id, mark (a hash of the text) and comp (the component's own name, null without
+    words) of every row of docs."""
     info = common.cut(document_nodes(docs, shingle, doc_id, text))
+    # Ids come before null in the order by which a node picks the row that stands for it.
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     nodes = info.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("repeated"))).alias("repeated")
+        F.min(row).alias("least"), F.max("n").alias("n"), F.max(F.when(F.col("own"), F.col("repeated"))).alias("repeated")
     )
     nodes = common.cut(nodes)
-    likely = nodes.where("4 * repeated >= 3 * n").select(F.col("least").alias("_id"), "node", (100 * F.col("repeated") / F.col("n")).cast("int").alias("share"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = texts.join(likely, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "share")
+    likely = nodes.where("4 * repeated >= 3 * n").select(F.col("least.doc_id").alias("_id"), F.col("least.mark").alias("_mark"), "node", (100 * F.col("repeated") / F.col("n")).cast("int").alias("share"))
+    texts = _texts(docs, doc_id, text).join(likely, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "share")
     sets = common.table(texts.mapInArrow(functools.partial(_sets, shingle=shingle), "node long, share int, shingles binary"), "sets")
     buckets = common.blocks_for(sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0, docs.sparkSession)
     labels = node_components(sets, buckets)
     common.discard(docs.sparkSession, sets, "sets")
-    named = nodes.select("node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    comp = named.groupBy("comp").agg(F.min("least").alias("component"))
-    named = named.join(comp, "comp").select(F.col("node").alias("_node"), "component")
-    out = info.join(named, (F.col("node") == F.col("_node")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = common.cut(nodes.select("node", "least.doc_id").join(labels, "node"))
+    comps = common.cut(linked.groupBy("comp").agg(F.min("doc_id").alias("component"), F.count("*").alias("nodes")))
+    joined = spread_join(linked.select("node", "comp"), comps, "comp", "nodes", linked.count()).select("node", "comp", "component")
+    alone = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"), F.col("least.doc_id").alias("component"))
+    named = joined.union(alone).withColumnRenamed("node", "_node")
+    out = info.join(named, F.when(F.col("n") > 0, F.col("node")) == F.col("_node"), "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "mark", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays, and of rows repeated whole
-    one. Rows with a null id stay, those with equal texts once."""
-    key, rows, mark = (common.fresh(x, docs.columns) for x in ("_key", "_rows", "_mark"))
+    """One row of each component: that with the smallest id, null last; of several rows with that id the one whose text
+    has the smallest hash, once. Rows without words stay, of those with equal id and text one."""
+    key, mark, rows = (common.fresh(x, docs.columns) for x in ("_key", "_mark", "_rows"))
     name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))
-    found = jaccard_components(docs, shingle, doc_id, text).where("component_id = doc_id or doc_id is null")
-    kept = found.groupBy(name(F.col("doc_id")).alias(key)).agg(F.count("*").alias(rows))
-    joined = docs.withColumn(key, name(F.col(doc_id))).join(kept, key)
-    # Texts are compared only where an id stands twice; the join has dealt the rows by id already.
-    once = joined.withColumn(mark, F.when(F.col(rows) > 1, F.xxhash64(F.col(text)))).dropDuplicates([key, mark])
-    return once.select(*docs.columns)
+    found = jaccard_components(docs, shingle, doc_id, text).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    named = found.select(name(F.col("doc_id")).alias(key), F.col("mark").alias(mark), F.col("comp").alias("_comp"))
+    rows_of = named.groupBy(key, "_comp", mark).agg(F.count("*").alias(rows))
+    first = rows_of.where("_comp is not null").groupBy(key, "_comp").agg(F.min(F.struct(mark, rows)).alias("_m")).select(key, f"_m.{mark}", f"_m.{rows}")
+    kept = common.cut(first.union(rows_of.where("_comp is null").select(key, mark, rows)))
+    joined = docs.withColumns({key: name(common.named(doc_id)), mark: F.xxhash64(common.named(text))}).join(kept, [key, mark])
+    # Rows repeated whole lie side by side; only where there are any is one of them picked.
+    if kept.where(F.col(rows) > 1).take(1):
+        joined = joined.dropDuplicates([key, mark])
+    return joined.select(*map(common.named, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("node")
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("mark", "comp")

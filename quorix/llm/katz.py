@@ -43,12 +43,11 @@ class Tokens:
 
     def __init__(self, column: pa.Array):
         data, offsets = common.binary_column(column)
-        roll = common.RollingHash(seed=2)
         found, self.sizes = [], np.zeros(len(offsets) - 1, np.int64)
         for first, last in common.pieces(offsets, 1 << 20):
             base = offsets[first]
             ends = offsets[first + 1 : last + 1] - base
-            words, start = word_hashes(np.insert(data[base : offsets[last]], ends, 32), roll)
+            words, start = word_hashes(np.insert(data[base : offsets[last]], ends, 32), 2)
             upto = np.searchsorted(start, ends + np.arange(1, last - first + 1))
             found.append(np.insert(words, upto, END))
             self.sizes[first:last] = np.diff(np.r_[0, upto]) + 1

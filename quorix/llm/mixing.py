@@ -6,8 +6,8 @@ histograms: words are summed by source and hash bucket, the running sum shows th
 budget ends, and only that bucket is split again, until it is one hash value. Nothing is sorted but
 histograms. A larger budget has a larger threshold, so the mixes of growing budgets are nested.
 
-Cases: null text has size 0; null sources are one source, last in order; null or repeated ids hash alike and
-are taken or left together; a table without rows or words gives targets of 0. Of the input, only the named
+Cases: null text has size 0; null sources are one source, last in order; rows without an id, or
+of one id, are told apart by their texts, and rows with the same id and text are taken or left together; a table without rows or words gives targets of 0. Of the input, only the named
 columns are used, so other columns may have any name.
 """
 
@@ -23,10 +23,10 @@ from . import common
 HASH_BITS, STEP_BITS = 48, 12
 
 
-def document_hash(doc_id: Column, seed: str = "mix") -> Column:
-    """48 bits of md5 over seed and id: the same on every run and engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """48 bits of md5 over seed, id and text: the same on every run and engine."""
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(totals: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
@@ -87,7 +87,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
 def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, int]:
     """Sizes of all documents (doc_id, source, size, h), thresholds of all sources, and the number of sources."""
     sizes = common.cut(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"), document_hash(F.col(doc_id)).alias("h")
+        common.named(doc_id).alias("doc_id"), common.named(source).alias("source"), common.word_count(common.named(text)).alias("size"), document_hash(common.named(doc_id), common.named(text)).alias("h")
     ))
     totals = common.cut(sizes.groupBy(F.col("source").alias("_source")).agg(F.sum("size").alias("source_size")))
     limits, rows = thresholds(sizes, source_targets(totals, weights, max_repeat))
@@ -107,8 +107,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rep
     _, limits, rows = plan(docs, weights, max_repeat, doc_id, text, source)
     names = [common.fresh(x, docs.columns) for x in ("_source", "_whole", "_limit")]
     limits = limits.select("_source", "_whole", "_limit").toDF(*names)
-    joined = docs.join(common.small_side(limits, rows), docs[source].eqNullSafe(limits[names[0]]))
-    copies = F.col(names[1]) + F.when(document_hash(docs[doc_id]) < F.col(names[2]), 1).otherwise(0)
+    joined = docs.join(common.small_side(limits, rows), common.named(source).eqNullSafe(F.col(names[0])))
+    copies = F.col(names[1]) + F.when(document_hash(common.named(doc_id), common.named(text)) < F.col(names[2]), 1).otherwise(0)
     return joined.withColumn("copies", copies.cast("long")).where("copies > 0").drop(*names)
 
 
@@ -121,7 +121,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS h
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),

@@ -13,10 +13,11 @@ borders of a very common passage) are dealt again by window, so that no group me
 Sorting a bucket. The positions of the bucket's text whose remainder lies in a difference cover modulo 31 get ranks by
 two doubling steps. The suffixes are sorted one block at a time by 32 bytes; longer ties are resolved against a
 leader by the ranks at the shift that brings both into the cover, then by the bytes behind. Memory is a block's
-suffixes, the cover's ranks and the bucket's text. Two windows are equal only if all their bytes are.
+suffixes, the cover's ranks and the bucket's text. Two windows of the sort are equal only if all their bytes are; whole
+segments, of which only one copy is sorted, by their 128-bit blake2b digest.
 
-Cases: null text has no bytes; matches never cross documents; rows with equal id count in the order of their
-text; null ids come after all others; texts under `length` bytes stay whole; an empty table gives no rows. Other
+Cases: null text has no bytes; matches never cross documents; rows with equal id count in the order of a
+hash of their text, then of the text; null ids come after all others; texts under `length` bytes stay whole; an empty table gives no rows. Other
 columns pass through `remove_repeats` unchanged, whatever their names.
 """
 
@@ -160,14 +161,15 @@ class Block:
         self.table, self.ids = in_order(table, id_name, text_name)
         self.data, self.offsets = common.binary_column(self.table[text_name])
         found = [self._segments(*p) for p in self._pieces()]
-        a, n, h, d = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else ((),) * 4, (np.int64, np.int64, np.uint64, np.uint64), strict=True))
-        order = np.lexsort((a, d, h))
+        a, n, h = (np.concatenate(c) if found else np.empty(0, t) for c, t in zip(zip(*found, strict=True) if found else ((),) * 3, (np.int64, np.int64, np.uint64), strict=True))
+        d = common.digests(self.data, a, a + n + length - 1)
+        order = np.lexsort((a, d[:, 1], d[:, 0], h))
         self.start, self.count, self.gram, self.digest = a[order], n[order], h[order], d[order]
         m = len(order)
         self.new_gram = np.ones(m, bool)
         self.new_gram[1:] = self.gram[1:] != self.gram[:-1]
         self.new_class = self.new_gram.copy()
-        self.new_class[1:] |= self.digest[1:] != self.digest[:-1]
+        self.new_class[1:] |= (self.digest[1:] != self.digest[:-1]).any(axis=1)
         self.gram_first = np.flatnonzero(self.new_gram)
         self.gram_no = np.cumsum(self.new_gram) - 1
 
@@ -178,11 +180,11 @@ class Block:
                 yield at, min(end, at + _LONGEST + self.length - 1)
 
     def _segments(self, start: int, end: int) -> tuple[np.ndarray, ...]:
-        """Runs of windows inside documents whose smallest k-gram is the same one: start, count, gram, digest."""
+        """Runs of windows inside documents whose smallest k-gram is the same one: start, count, gram."""
         part, length = self.data[start:end], self.length
         n = len(part) - length + 1
         if n <= 0:
-            return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         grams = _GRAMS.windows(_GRAMS.prefix(part), GRAM)
         at = _least_grams(grams, length - GRAM + 1)[:n]
         inside = np.ones(n, bool)
@@ -193,9 +195,8 @@ class Block:
         new[1:] |= ~inside[:-1]
         first = np.flatnonzero(new & inside)
         stop = np.flatnonzero(np.r_[(new | ~inside)[1:], True] & inside) + 1
-        digest = _DIGESTS.substrings(_DIGESTS.prefix(part), first, stop + length - 1)
         # Smallest hashes are small numbers; mixed again they spread over the buckets.
-        return first + start, stop - first, common.mix64(grams[at[first]]), digest
+        return first + start, stop - first, common.mix64(grams[at[first]])
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, at, side="right") - 1
@@ -225,8 +226,11 @@ class Block:
             key = _hash_windows(self.data, place, self.length)
         order = np.lexsort((place, key))
         key, place = key[order], place[order]
+        # Windows count as the same here only if their bytes are; others of one hash are sent side by side.
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
+        twin = np.flatnonzero(~new)
+        new[twin] = ~common.same_strings(self.data, place[twin - 1], place[twin], np.full(len(twin), self.length))
         keys = np.concatenate([self.gram[cold], key[new]])
         starts = np.concatenate([self.start[cold], place[new]])
         sizes = np.concatenate([self.count[cold], np.ones(int(new.sum()), np.int64)])
@@ -266,7 +270,7 @@ class Block:
         return np.cumsum(cover[:-1]) > 0
 
 
-_GRAMS, _DIGESTS, _WINDOWS = common.RollingHash(seed=4), common.RollingHash(seed=5, multiplier=0xA0761D6478BD642F), common.RollingHash(seed=6, multiplier=0xE7037ED1A0B428DB)
+_GRAMS = common.RollingHash(seed=4)
 
 
 def _hash_windows(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -289,15 +293,15 @@ def _compare_names(table: pa.Table) -> pa.Table:
         grams.append(unplanes(blob, k, H_BYTES))
         rest = blob[k * H_BYTES :]
         variants.append(np.frombuffer(rest, np.uint16, k))
-        digests.append(np.frombuffer(rest, np.uint64, k, 2 * k))
-        docs.append(np.frombuffer(rest, np.int64, k, 10 * k))
+        digests.append(np.frombuffer(rest, np.uint64, 2 * k, 2 * k).reshape(k, 2))
+        docs.append(np.frombuffer(rest, np.int64, k, 18 * k))
     gram, variant, digest, doc = (np.concatenate(x) for x in (grams, variants, digests, docs))
     order = np.lexsort((np.repeat(np.array(p), n), doc, gram))
     g, v, d = gram[order], variant[order].astype(np.int64), digest[order]
     first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     group = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
     total = np.add.reduceat(v, first)
-    differs = np.bincount(group, weights=(d != d[first][group]) | (v > 1)) > 0
+    differs = np.bincount(group, weights=(d != d[first][group]).any(axis=1) | (v > 1)) > 0
     code = np.where(differs[group], np.where(total[group] > HOT_SEGMENTS, 3, 2), (np.arange(len(g)) != first[group]).astype(int)).astype(np.uint8)
     out = np.empty(len(code), np.uint8)
     out[order] = code
@@ -362,10 +366,15 @@ def _result(block: Block, gone: np.ndarray, id_name: str, text_name: str, digest
     return table.set_column(table.schema.get_field_index(text_name), text_name, text).append_column(count, pa.array(removed, pa.int64()))
 
 
-def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, schema, count: str | None = None) -> DataFrame:
+_REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool, count: str | None = None) -> DataFrame:
     if length < DEPTH + TIE:
         raise ValueError(f"length is at least {DEPTH + TIE}")
-    block = common.fresh("_p", docs.columns)
+    # Inside, columns have names by place, which grouped calls resolve whatever the given ones are.
+    docs, given = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+    doc_id, text, block = f"c{given.index(doc_id)}", f"c{given.index(text)}", "p"
     # Small blocks and more buckets: hashing and sorting take many times the bytes of the text at hand.
     dealt, blocks = deal(docs, doc_id, text, 4 << 20, block)
     buckets = 2 * blocks
@@ -394,26 +403,27 @@ def _run(docs: DataFrame, length: int, doc_id: str, text: str, digest_only: bool
         flags = [np.unpackbits(np.frombuffer(bits[q][1], np.uint8), count=bits[q][0]).astype(bool) for q in sorted(bits)]
         own = build(table)
         gone = own.removed(codes, np.concatenate(flags) if flags else np.empty(0, bool))
-        return _result(own, gone, doc_id, text, digest_only, count)
+        return _result(own, gone, doc_id, text, digest_only, "removed")
 
     # One plan: the shuffle of the documents into blocks is written once and read by three steps.
     names = dealt.groupBy(block).applyInArrow(say_names, MAIL)
     codes = names.groupBy("q").applyInArrow(lambda key, table: _compare_names(table), MAIL)
     parcels = dealt.groupBy(block).cogroup(codes.groupBy("p")).applyInArrow(say_parcels, MAIL)
     sorted_ = parcels.groupBy("q").applyInArrow(sort, MAIL)
-    return dealt.groupBy(block).cogroup(sorted_.groupBy("p")).applyInArrow(finish, schema)
+    if digest_only:
+        return dealt.groupBy(block).cogroup(sorted_.groupBy("p")).applyInArrow(finish, _REPORT)
+    schema = T.StructType([*docs.schema.fields, T.StructField("removed", T.LongType())])
+    return dealt.groupBy(block).cogroup(sorted_.groupBy("p")).applyInArrow(finish, schema).toDF(*given, count)
 
 
 def repeat_report(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _run(docs.select(doc_id, text), length, doc_id, text, True, schema)
+    return _run(docs.select(common.named(doc_id), common.named(text)), length, doc_id, text, True)
 
 
 def remove_repeats(docs: DataFrame, count: str, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes of the text cut out (a character cut in two goes as well), counted in a column."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
-    return _run(docs, length, doc_id, text, False, schema, count)
+    return _run(docs, length, doc_id, text, False, count)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

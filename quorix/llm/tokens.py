@@ -37,6 +37,7 @@ INIT, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, LAST_LETTER, TWO
 SHORT_ENDS, LONG_ENDS = "stmd", ("re", "ve", "ll")
 CHUNK = 512
 MOST_TRANSITIONS, MOST_PIECES = 100_000, 500_000
+LONGEST_KEPT = 64  # bytes of a piece whose count is kept
 _PIECE, _LONGEST = 1 << 20, 4 << 20
 
 
@@ -235,8 +236,7 @@ class Counter:
     def __init__(self, content: bytes):
         self.vocabulary = Vocabulary(content)
         self.transducer = Transducer(self.vocabulary)
-        self.known: dict[int, int] = {}
-        self.roll = common.RollingHash(seed=8)
+        self.known: dict[bytes, int] = {}
 
     def _special(self, data: bytes) -> list[tuple[int, int]]:
         """Places of special strings, from the left, the longest first at a place."""
@@ -299,15 +299,23 @@ class Counter:
         text = symbol[begin] != RESET
         first, last = place[begin], place[np.append(begin[1:], len(points))]
         first, last = first[text], last[text]
-        keys = self.roll.substrings(self.roll.prefix(buffer), first, last)
-        distinct, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        keys = common.string_hashes(buffer, first, last, 8)
+        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        # A piece counts as another only if all bytes agree; one that only shares the hash is counted by itself.
+        size, twin = last - first, at[back]
+        other = np.flatnonzero((size != size[twin]) | ~common.same_strings(buffer, first, first[twin], np.minimum(size, size[twin])))
+        back[other] = len(at) + np.arange(len(other))
+        at = np.append(at, other)
         if len(self.known) > MOST_PIECES:
             self.known.clear()
-        known, sizes = self.known, np.empty(len(distinct), np.int64)
-        for i, key in enumerate(distinct.tolist()):
-            size = known.get(key)
+        known, sizes = self.known, np.empty(len(at), np.int64)
+        for i, (a, b) in enumerate(zip(first[at].tolist(), last[at].tolist(), strict=True)):
+            piece = joined[a:b]
+            size = known.get(piece)
             if size is None:
-                size = known[key] = self.transducer.count(joined[first[at[i]] : last[at[i]]])
+                size = self.transducer.count(piece)
+                if b - a <= LONGEST_KEPT:
+                    known[piece] = size
             sizes[i] = size
         owner = np.searchsorted(ends, first, side="right")
         got = np.bincount(owner, weights=sizes[back], minlength=len(parts)).astype(np.int64)
