@@ -1,5 +1,6 @@
 """Strings that agree under weak hashes, repeated and missing ids, awkward column names, long texts."""
 
+import collections
 import math
 import random
 
@@ -162,3 +163,76 @@ def test_archives_ignore_other_columns(spark):
     path = new_folder(spark, "warc")
     warc.write_archives(pages, path)
     assert {(r.page_id, r.record_type) for r in warc.read_archives(spark, path).collect()} == {(1, "revisit"), (2, "response")}
+
+
+def brute_katz(train, order, d):
+    """P(w | h) of a model of any order, from counts in dictionaries; h has order - 1 tokens."""
+    pad = ["<s>"] * (order - 1)
+    c = [collections.Counter() for _ in range(order + 1)]
+    of = collections.Counter()
+    for t in train:
+        w = [*pad, *t, None]
+        for i in range(len(pad), len(w)):
+            for k in range(1, order + 1):
+                c[k][tuple(w[i - k + 1 : i + 1])] += 1
+                of[tuple(w[i - k + 1 : i])] += 1
+    n = sum(c[1].values())
+    cut = lambda k, x: (d[k][x] if x <= 5 else 1) * x
+    left = 1 - sum(cut(1, x) for x in c[1].values()) / n
+    share, left = (n / (n + 1), 1 / (n + 1)) if left < 1e-12 else (1, left)
+    after = collections.defaultdict(list)
+    for k in range(2, order + 1):
+        for g in c[k]:
+            after[g[:-1]].append(g[-1])
+
+    def p(h, w):
+        k = len(h) + 1
+        if k == 1:
+            return share * cut(1, c[1][w,]) / n if (w,) in c[1] else left
+        if h not in after:
+            return p(h[1:], w)
+        mass = sum(cut(k, c[k][*h, x]) for x in after[h]) / of[h]
+        whole = 1 - mass < 1e-12
+        scale, rest = (of[h] / (of[h] + 1), 1 / (of[h] + 1)) if whole else (1, 1 - mass)
+        if (*h, w) in c[k]:
+            return scale * cut(k, c[k][*h, w]) / of[h]
+        return rest / (1 - sum(p(h[1:], x) for x in after[h])) * p(h[1:], w)
+
+    return p, [w for (w,) in c[1]], list(after)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_of_any_order(spark, order):
+    rng = random.Random(order)
+    texts = [[rng.choice("aabbbcdefghij") for _ in range(rng.randint(0, 30))] for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    scores, model = katz.score_corpus(docs, F.col("doc_id") % 3 != 1, order)
+    train = [t for i, t in enumerate(texts) if i % 3 != 1]
+    p, words, contexts = brute_katz(train, order, model.d)
+    want = {}
+    for i, t in enumerate(texts):
+        w = [*["<s>"] * (order - 1), *t, None]
+        want[i] = sum(math.log10(p(tuple(w[j - order + 1 : j]), w[j])) for j in range(order - 1, len(w)))
+    got = {r.doc_id: r.score for r in scores.collect()}
+    assert got == pytest.approx(want, abs=1e-8)
+    assert {r.doc_id: r.score for r in katz.score(docs, model).collect()} == pytest.approx(want, abs=1e-8)
+    assert {r.doc_id: r.score for r in katz.score(docs, katz.fit(docs.where("doc_id % 3 <> 1"), order)).collect()} == pytest.approx(want, abs=1e-8)
+    for h in [()] + [h for h in contexts if len(h) == order - 1][:20]:
+        if len(h) == order - 1:
+            assert sum(p(h, w) for w in words) + p(h, "no such word") == pytest.approx(1, abs=1e-9)
+
+
+def test_discounts_are_good_turing():
+    seen = [1000, 400, 220, 140, 100, 75, 9999]
+    got = katz.discounts(seen)
+    for c in range(1, 6):
+        star = (c + 1) * seen[c] / seen[c - 1]
+        tail = 6 * seen[5] / seen[0]
+        assert got[c] == pytest.approx((star / c - tail) / (1 - tail))
+    for odd in ([3, 0, 0, 0, 0, 0, 3], [1, 2, 3, 4, 5, 6, 21], [0, 0, 4, 0, 0, 0, 4], [10, 0, 3, 1, 1, 1, 30]):
+        d = katz.discounts(odd)[1:]
+        assert ((0 < d) & (d < 1)).all() and (np.diff(d) > 0).all()
+    # A power law n(c) = 1000 c^-2 smooths to itself: c* = c (1 + 1/c)^-1.
+    law = [1000 / c**2 for c in range(1, 7)]
+    tail = 1 / 6
+    assert katz.discounts([*law[:5], 0, 0])[1:] == pytest.approx([((c / (c + 1)) - tail) / (1 - tail) for c in range(1, 6)])
