@@ -89,7 +89,7 @@ def blocks_for(total_bytes: int, spark: SparkSession, block_bytes: int = 24 << 2
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
-    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return docs.agg(F.sum(F.octet_length(named(text)))).first()[0] or 0
 
 
 # --- hashing of byte strings with numpy -------------------------------------------------------

@@ -3,65 +3,103 @@
 Each document gets counts of its words and lines. Four ratios of them, as whole numbers, go into sketches:
 a sketch is a histogram over buckets of bounded relative width (a value keeps its 6 leading bits), so sketches
 merge by adding counts and quantiles are off by 1/32 at most. One sketch for each language, source and ratio is
-built by a partial aggregation; those of a language, and of all, are sums of them. A fence lies `reach` spreads
-beyond the quartile of a group, and never nearer than a fixed slack to the median, so that a group of even
-documents does not reject harmless ones. Groups under `least` documents use their language's fences, or those of all.
+built by a partial aggregation; those of a language, and of all, are sums of them.
+
+Fences. A ratio has a high quantile (the upper quartile where most texts are alike, the 99th hundredth where many have
+nothing and few have much) and a reach. The upper fence of a group lies `reach` spreads above the group's own high
+quantile, where the spread is the distance from the median to it, and one sketch bucket at least; so a ratio with a
+high quantile of 0.99 rejects less than a hundredth of any group. The lower fence of word length mirrors it. Groups
+under `least` documents use their language's fences, or those of all. No constant is compared with a ratio.
+
+Texts are counted once a pass, a piece of a batch at a time, with arrays of a fixed number of entries a word.
 
 Cases: null and empty texts have no words and fail the base rule; null language or source is a group of its
-own; repeated rows are judged one by one; an empty table gives no rows. Other columns pass through unchanged.
+own; repeated rows are judged one by one; an empty table gives no rows. Other columns pass through unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .jaccard import sequence_hashes
 
 _SYMBOLS = b"#*$%&|<>"
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 LEAD_BITS = 6
-#: Ratios in whole numbers: (name, numerator, denominator, scale, slack above the median, slack below or None).
+#: Ratios in whole numbers: (name, numerator, denominator, scale, high quantile, reach, whether there is a lower fence).
 RATIOS = (
-    ("symbols", "n_symbols", "n_words", 1000, 60, None),
-    ("word_length", "word_chars", "n_words", 100, 300, 250),
-    ("repeats", "n_repeat_words", "n_words", 1000, 460, None),
-    ("dup_lines", "n_dup_lines", "n_lines", 1000, 460, None),
+    ("symbols", "n_symbols", "n_words", 1000, 0.75, 32, False),
+    ("word_length", "word_chars", "n_words", 100, 0.75, 8, True),
+    ("repeats", "n_repeat_words", "n_words", 1000, 0.99, 2, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 1000, 0.99, 2, False),
 )
-
-
-def count_text(data: bytes) -> tuple[int, int, int, int, int, int]:
-    """The six counts of one text in UTF-8."""
-    words = data.split()
-    n = len(words)
-    in_words = sum(map(len, words))
-    chars = len(data.decode("utf-8", "replace")) - (len(data) - in_words)
-    symbols = len(data) - len(data.translate(None, _SYMBOLS))
-    lines = [line for line in data.split(b"\n") if line.strip()]
-    repeats = 0
-    if n >= 4:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        if len(set(windows)) < n - 2:
-            seen, upto = Counter(windows), 0
-            for i, window in enumerate(windows):
-                if seen[window] > 1:
-                    repeats += i + 3 - max(i, upto)
-                    upto = i + 3
-    return n, chars, symbols, len(lines), len(lines) - len(set(lines)), repeats
-
-
-def _count_batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in COUNTS.split(", ")]
+_IS_SYMBOL = np.zeros(256, bool)
+_IS_SYMBOL[list(_SYMBOLS)] = True
+_LETTER = np.arange(256) & 0xC0 != 0x80  # the first byte of a character ...
+_LETTER[list(common.SPACE_BYTES)] = False  # ... of a word
+_COUNTED = pa.struct([(c.split()[0], pa.int64()) for c in COUNTS.split(", ")])
+
+
+def _again(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes of parts of texts: which class of equal parts of one text each is in, and the sizes of the classes."""
+    _, which, size = np.unique(common.mix64(hashes + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    return which, size
+
+
+def count_piece(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The six counts of texts that lie one after the other in a buffer, as rows."""
+    n = len(ends)
+    # A line break behind each text keeps its words and lines apart.
+    joined = np.insert(data, ends, 10)
+    ends = ends + np.arange(1, n + 1)
+    total = lambda flags: np.diff(np.r_[0, np.r_[0, np.cumsum(flags)][ends]])
+    start, end = common.word_bounds(joined)
+    owner = np.searchsorted(ends, start, side="right")
+    words = np.bincount(owner, minlength=n)
+    breaks = np.flatnonzero(joined == 10)
+    first = np.r_[0, breaks[:-1] + 1]
+    used = np.searchsorted(start, breaks) > np.searchsorted(start, first)
+    first, last = first[used], breaks[used]
+    line_owner = np.searchsorted(ends, first, side="right")
+    lines = np.bincount(line_owner, minlength=n)
+    which, size = _again(line_owner, common.string_hashes(joined, first, last, 51))
+    kinds = np.zeros(len(size), np.int64)
+    kinds[which] = line_owner
+    repeats = np.zeros(n, np.int64)
+    if len(start) > 3:
+        windows = sequence_hashes(common.string_hashes(joined, start, end, 52), 3)
+        inside = np.flatnonzero(owner[2:] == owner[:-2])
+        which, size = _again(owner[inside], windows[inside])
+        at = inside[size[which] > 1]
+        covered = np.zeros(len(start), bool)
+        for k in range(3):
+            covered[at + k] = True
+        repeats = np.bincount(owner[covered], minlength=n)
+    return np.stack([words, total(_LETTER[joined]), total(_IS_SYMBOL[joined]), lines, lines - np.bincount(kinds, minlength=n), repeats], axis=1)
+
+
+def count_column(column: pa.Array) -> np.ndarray:
+    """The six counts of each text in UTF-8."""
+    data, offsets = common.binary_column(column)
+    found = [count_piece(data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a]) for a, b in common.pieces(offsets, 1 << 20)]
+    return np.concatenate(found) if found else np.empty((0, 6), np.int64)
+
+
+def _count_batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.DataFrame([count_text(x or b"") for x in batch], columns=names)
+        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in count_column(batch).T], fields=list(_COUNTED))
 
 
 def text_counts(text: Column) -> Column:
-    return F.pandas_udf(_count_batches, COUNTS)(F.coalesce(text, F.lit("")).cast("binary"))
+    """The counts as a struct. Marked as nondeterministic, so that no rule of the optimizer evaluates them twice."""
+    return F.arrow_udf(_count_batches, COUNTS).asNondeterministic()(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -69,7 +107,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def _ratio(rule: tuple, counts: str = "") -> Column:
-    _, top, bottom, scale, _, _ = rule
+    _, top, bottom, scale, *_ = rule
     return F.expr(f"CASE WHEN {counts}{bottom} > 0 THEN {counts}{top} * {scale} div {counts}{bottom} ELSE 0 END")
 
 
@@ -92,22 +130,32 @@ def sketches(counts: DataFrame) -> DataFrame:
     return counts.where("n_words > 0").select("lang", "source", F.inline(values)).groupBy("lang", "source", "rule", "bucket").agg(F.count("*").alias("count"))
 
 
+def width(value: Column) -> Column:
+    """The width of a value's bucket."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(value)) - LEAD_BITS, F.lit(0)))
+
+
+def _by_rule(k: int, kind: str) -> Column:
+    """Field k of RATIOS for the row's rule."""
+    return F.element_at(F.array(*[F.lit(r[k]).cast(kind) for r in RATIOS]), F.col("rule") + 1)
+
+
 def _quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Merged sketches by the given columns -> quartiles and number of documents for each rule."""
+    """Merged sketches by the given columns -> low and high quantile, median and number of documents for each rule."""
     merged = sketch.groupBy(*by, "rule", "bucket").agg(F.sum("count").alias("count"))
     group = Window.partitionBy(*by, "rule")
     order = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = merged.withColumns({"_upto": F.sum("count").over(order), "_n": F.sum("count").over(group)})
+    running = merged.withColumns({"_upto": F.sum("count").over(order), "_n": F.sum("count").over(group), "_high": _by_rule(4, "double")})
     at = lambda q: F.min(F.when(F.col("_upto") >= F.col("_n") * q, bucket_value(F.col("bucket"))))
-    return running.groupBy(*by, "rule").agg(F.first("_n").alias("n"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    return running.groupBy(*by, "rule").agg(F.first("_n").alias("n"), at(1 - F.col("_high")).alias("low"), at(0.5).alias("mid"), at(F.col("_high")).alias("high"))
 
 
-def fences(sketch: DataFrame, reach: int, least: int) -> DataFrame:
-    """(_lang, _source, lower, upper): the fences of each language and source, arrays by rule. One row a group."""
-    slack = lambda i: F.element_at(F.array(*[F.lit(r[i]).cast("long") for r in RATIOS]), F.col("rule") + 1)
-    upper = F.greatest(F.col("q3") + reach * (F.col("q3") - F.col("q2")), F.col("q2") + slack(4))
-    near = F.least(F.col("q1") - reach * (F.col("q2") - F.col("q1")), F.col("q2") - slack(5))
-    lower = F.when(slack(5).isNull(), F.lit(-1)).otherwise(near).cast("long")  # ratios without a lower slack have no lower fence
+def fences(sketch: DataFrame, reach: float = 1.0, least: int = 50) -> DataFrame:
+    """(_lang, _source, lower, upper): the fences of each language and source, arrays by rule. One row a group. `reach`
+    multiplies the reach of every ratio."""
+    far, high, low, mid = F.ceil(_by_rule(5, "long") * reach), F.col("high"), F.col("low"), F.col("mid")
+    upper = high + far * F.greatest(high - mid, width(high))
+    lower = F.when(_by_rule(6, "boolean"), low - far * F.greatest(mid - low, width(low))).otherwise(F.lit(-1)).cast("long")
     bound = F.struct(F.col("rule"), lower.alias("lower"), upper.alias("upper"))
     rows = lambda by: _quantiles(sketch, by).groupBy(*by).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(bound)).alias("f"))
     own = rows(["lang", "source"]).toDF("_lang", "_source", "n", "f")
@@ -126,30 +174,31 @@ def verdict(n_words: Column, n_repeat_words: Column, counts: str = "", lower: st
     return ok
 
 
-def learned_fences(docs: DataFrame, reach: int = 8, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    counts = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), text_counts(F.col(text)).alias("c")).select("lang", "source", "c.*")
+def learned_fences(docs: DataFrame, reach: float = 1.0, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    counts = docs.select(common.named(lang).alias("lang"), common.named(source).alias("source"), text_counts(common.named(text)).alias("c")).select("lang", "source", "c.*")
     return common.cut(fences(common.cut(sketches(counts)), reach, least))
 
 
-def judge(docs: DataFrame, reach: int = 8, least: int = 50, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def judge(docs: DataFrame, reach: float = 1.0, least: int = 50, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of every document."""
-    counts = common.cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), text_counts(F.col(text)).alias("c")).select("doc_id", "lang", "source", "c.*"))
+    counts = common.cut(docs.select(common.named(doc_id).alias("doc_id"), common.named(lang).alias("lang"), common.named(source).alias("source"), text_counts(common.named(text)).alias("c")).select("doc_id", "lang", "source", "c.*"))
     limits = common.cut(fences(common.cut(sketches(counts)), reach, least))
     joined = counts.join(common.small_side(limits, limits.count()), counts["lang"].eqNullSafe(limits["_lang"]) & counts["source"].eqNullSafe(limits["_source"]), "left")
     n, r = F.col("n_words"), F.col("n_repeat_words")
     return joined.select("doc_id", "lang", "source", *[c.split()[0] for c in COUNTS.split(", ")], base_failed(n, r).alias("base_failed"), verdict(n, r).alias("kept"))
 
 
-def keep_good(docs: DataFrame, reach: int = 8, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that pass; texts are counted where they lie and never shuffled."""
+def keep_good(docs: DataFrame, reach: float = 1.0, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that pass; texts are counted where they lie and never shuffled: once for the sketches, once for
+    the verdict."""
     limits = learned_fences(docs, reach, least, text, lang, source)
     names = [common.fresh(x, docs.columns) for x in ("_lang", "_source", "_lower", "_upper")]
     limits, counts = limits.toDF(*names), common.fresh("_counts", docs.columns)
-    counted = docs.withColumn(counts, text_counts(F.col(text)))
-    same = counted[lang].eqNullSafe(limits[names[0]]) & counted[source].eqNullSafe(limits[names[1]])
+    counted = docs.withColumn(counts, text_counts(common.named(text)))
+    same = common.named(lang).eqNullSafe(F.col(names[0])) & common.named(source).eqNullSafe(F.col(names[1]))
     joined = counted.join(common.small_side(limits, limits.count()), same, "left")
     kept = joined.where(verdict(F.col(f"{counts}.n_words"), F.col(f"{counts}.n_repeat_words"), f"{counts}.", *names[2:]))
-    return kept.select(*docs.columns)
+    return kept.select(*map(common.named, docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -161,12 +210,13 @@ def _sql() -> str:
     """The same counts, sketches and fences, from the table of ratios above."""
     ratio = lambda r: f"CASE WHEN {r[2]} > 0 THEN {r[1]} * {r[3]} // {r[2]} ELSE 0 END"
     values = " UNION ALL ".join(f"SELECT lang, source, {i} AS rule, {ratio(r)} AS v FROM c WHERE n_words > 0" for i, r in enumerate(RATIOS))
-    slack = lambda k: "CASE rule " + " ".join(f"WHEN {i} THEN {'NULL' if r[k] is None else r[k]}" for i, r in enumerate(RATIOS)) + " END"
+    given = lambda k: "CASE rule " + " ".join(f"WHEN {i} THEN {r[k]}" for i, r in enumerate(RATIOS)) + " END"
+    wide = lambda v: f"(CAST(1 AS BIGINT) << greatest(length(bin({v})) - 6, 0))"
     level = lambda name, by: f"""
 {name}q AS (SELECT *, sum(n) OVER (PARTITION BY {by} rule ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {by} rule) AS total FROM (SELECT {by} rule, b, sum(n) AS n FROM sk GROUP BY {by} rule, b)),
-{name}f AS (SELECT *, greatest(q3 + 8 * (q3 - q2), q2 + {slack(4)}) AS hi, CASE WHEN {slack(5)} IS NULL THEN -1 ELSE least(q1 - 8 * (q2 - q1), q2 - {slack(5)}) END AS lo FROM (
-  SELECT {by} rule, min(total) AS total, min(top) FILTER (upto >= total * 0.25) AS q1, min(top) FILTER (upto >= total * 0.5) AS q2, min(top) FILTER (upto >= total * 0.75) AS q3
-  FROM (SELECT *, (((b - greatest(b // 32 - 1, 0) * 32) + 1) << greatest(b // 32 - 1, 0)) - 1 AS top FROM {name}q) GROUP BY {by} rule))"""
+{name}f AS (SELECT *, high + {given(5)} * greatest(high - mid, {wide('high')}) AS hi, CASE WHEN {given(6)} THEN low - {given(5)} * greatest(mid - low, {wide('low')}) ELSE -1 END AS lo FROM (
+  SELECT {by} rule, min(total) AS total, min(top) FILTER (upto >= total * (CAST(1 AS DOUBLE) - qh)) AS low, min(top) FILTER (upto >= total * CAST(0.5 AS DOUBLE)) AS mid, min(top) FILTER (upto >= total * qh) AS high
+  FROM (SELECT *, CAST({given(4)} AS DOUBLE) AS qh, (((b - greatest(b // 32 - 1, 0) * 32) + 1) << greatest(b // 32 - 1, 0)) - 1 AS top FROM {name}q) GROUP BY {by} rule))"""
     same = lambda a, b, c: f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}"
     out = " OR ".join(f"(rule = {i} AND ({ratio(r)} < lo OR {ratio(r)} > hi))" for i, r in enumerate(RATIOS))
     return rf"""
