@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorix.functions import features
-from quorix.operators.search import STORED, slices
+from quorix.operators.search import REF_ROWS, STORED, salted
+from quorix.session import shared_dir
 
-FORMAT, VERSION, TARGET = "quorix-index", 1, 75
+FORMAT, VERSION, TARGET, BUCKETS = "quorix-index", 1, 75, 16
 
 
 def cluster_count(points: Column, target: int = TARGET) -> Column:
@@ -28,8 +28,10 @@ def cluster_sizes(refs: DataFrame, target: int = TARGET) -> DataFrame:
 
 def ranked(df: DataFrame, key: str, order: str) -> DataFrame:
     """df with rank_in_key from 0, without a window over a key: rows are placed by range, numbered in their
-    partition, and shifted by what earlier partitions hold of the key."""
-    placed = df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    partition, and shifted by what earlier partitions hold of the key. Places are written down before they are used twice:
+    planned twice, the same rows may lie in other partitions."""
+    shared_dir(df.sparkSession)
+    placed = df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).checkpoint()
     counts = placed.groupBy(key, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -41,54 +43,81 @@ def strided_seeds(refs: DataFrame, target: int = TARGET) -> DataFrame:
     sizes = cluster_sizes(refs, target)
     seeds = sizes.select("bucket", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1)).alias("cluster_id"), "clusters")
     seeds = seeds.withColumn("rank_in_key", F.expr("cluster_id * cnt div clusters")).select("bucket", "cluster_id", "rank_in_key")
-    return ranked(refs, "bucket", "ref_id").join(seeds, ["bucket", "rank_in_key"]).select("bucket", "cluster_id", "ref_id", *STORED)
-
-
-def _assign(batches: Iterator[pa.RecordBatch], centres: dict, extra: int) -> Iterator[pa.RecordBatch]:
-    """(extra columns, bucket, coordinates) -> the same with the nearest centre; equal distances: the lowest."""
-    for batch in batches:
-        bucket = batch.column(extra).to_numpy(zero_copy_only=False)
-        points = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(extra + 1, batch.num_columns)], axis=1).astype(np.float64)
-        cluster, distance = np.zeros(len(bucket), np.int64), np.full(len(bucket), np.iinfo(np.int64).max)
-        for b in np.unique(bucket):
-            rows = np.flatnonzero(bucket == b)
-            ids, at = centres.get(int(b), (None, None))
-            if ids is None:
-                continue
-            step = max(1, (1 << 22) // len(ids))
-            for s in range(0, len(rows), step):
-                part = rows[s : s + step]
-                d = (points[part] ** 2).sum(axis=1)[:, None] + (at * at).sum(axis=1) - 2.0 * (points[part] @ at.T)
-                best = d.argmin(axis=1)
-                cluster[part], distance[part] = ids[best], d[np.arange(len(part)), best].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster), pa.array(distance)], names=[*batch.schema.names, "cluster_id", "d"])
+    # Ranks need the ids alone; coordinates are read for the seeds only.
+    chosen = ranked(refs.select("bucket", "ref_id"), "bucket", "ref_id").join(seeds, ["bucket", "rank_in_key"]).select(F.col("ref_id").alias("_seed"), "cluster_id")
+    return refs.join(chosen, F.col("ref_id") == F.col("_seed")).select("bucket", "cluster_id", "ref_id", *STORED)
+
+
+def _nearest_centres(points: np.ndarray, bucket: np.ndarray, centres: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point's bucket and its distance; equal distances: the lowest centre."""
+    cluster, distance = np.zeros(len(bucket), np.int64), np.full(len(bucket), np.iinfo(np.int64).max)
+    for b in np.unique(bucket):
+        rows = np.flatnonzero(bucket == b)
+        ids, at = centres.get(int(b), (None, None))
+        if ids is None:
+            continue
+        step = max(1, (1 << 22) // len(ids))
+        for s in range(0, len(rows), step):
+            part = rows[s : s + step]
+            d = (points[part] ** 2).sum(axis=1)[:, None] + (at * at).sum(axis=1) - 2.0 * (points[part] @ at.T)
+            best = d.argmin(axis=1)
+            cluster[part], distance[part] = ids[best], d[np.arange(len(part)), best].astype(np.int64)
+    return cluster, distance
+
+
+def _centres(table: pa.Table) -> dict:
+    """For each bucket the sorted ids of its centres and their coordinates."""
+    ids, bucket = table["cluster_id"].to_numpy().astype(np.int64), table["bucket"].to_numpy()
+    at = np.stack([table[c].to_numpy() for c in STORED], axis=1).astype(np.float64)
+    out = {}
+    for b in np.unique(bucket):
+        rows = np.flatnonzero(bucket == b)
+        rows = rows[np.argsort(ids[rows])]
+        out[int(b)] = (ids[rows], at[rows])
+    return out
+
+
+def _with_nearest(table: pa.Table, centres: dict) -> pa.Table:
+    points = np.stack([table[c].to_numpy() for c in STORED], axis=1).astype(np.float64)
+    cluster, distance = _nearest_centres(points, table["bucket"].to_numpy(), centres)
+    return table.append_column("cluster_id", pa.array(cluster)).append_column("d", pa.array(distance))
 
 
 def assign(refs: DataFrame, centroids: DataFrame, slice_rows: int = 200_000) -> DataFrame:
     """refs with cluster_id and d of the nearest centroid in their bucket.
 
-    Centroids go to the executors in slices; with more than one, each point keeps the best of its slices.
+    Up to slice_rows centroids, by count, are broadcast and refs stay where they lie. More are cut in parts: each part of a
+    bucket's points meets each part of its centroids in a group, and each point keeps the best of its groups.
     """
-    found = []
     kept = [c for c in refs.columns if c not in (*STORED, "bucket")]
-    layout = refs.select(*kept, "bucket", *STORED)
+    layout, centres = refs.select(*kept, "bucket", *STORED), centroids.select(*[F.col(c).alias(c) for c in ("bucket", "cluster_id", *STORED)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in layout.schema.fields) + ", cluster_id long, d long"
-    for rows in slices(centroids.select("bucket", "cluster_id", *STORED), "cluster_id", slice_rows):
-        centres: dict = {}
-        for r in sorted(rows, key=lambda r: r["cluster_id"]):
-            centres.setdefault(r["bucket"], []).append(r)
-        packed = {b: (np.array([r["cluster_id"] for r in x], np.int64), np.array([[r[c] for c in STORED] for r in x], np.float64)) for b, x in centres.items()}
-        shared = refs.sparkSession.sparkContext.broadcast(packed)
-        found.append(layout.mapInArrow(_assigner(shared, len(kept)), schema))
-    if len(found) == 1:
-        return found[0]
-    every = reduce(DataFrame.union, found)
+    if centres.count() <= slice_rows:
+        shared = refs.sparkSession.sparkContext.broadcast(_centres(centres.toArrow()))
+        return layout.mapInArrow(_assigner(shared), schema)
+    most = lambda df: df.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    s, t = max(1, -(-most(layout) // REF_ROWS)), max(1, -(-most(centres) // slice_rows))
+    a, b = salted(layout, "ref_id", "_s", s, "_t", t), salted(centres, "cluster_id", "_t", t, "_s", s)
+    names = layout.columns
+
+    def meet(points: pa.Table, centres: pa.Table) -> pa.Table:
+        if not points.num_rows:
+            return points.select(names).append_column("cluster_id", pa.array([], pa.int64())).append_column("d", pa.array([], pa.int64()))
+        return _with_nearest(points.select(names), _centres(centres) if centres.num_rows else {})
+
+    every = a.groupBy("bucket", "_s", "_t").cogroup(b.groupBy("bucket", "_s", "_t")).applyInArrow(meet, schema)
+    if t == 1:
+        return every
     best = every.groupBy("ref_id").agg(F.min(F.struct("d", "cluster_id")).alias("_b"))
-    return layout.join(best, "ref_id").select(*layout.columns, F.col("_b.cluster_id").alias("cluster_id"), F.col("_b.d").alias("d"))
+    return layout.join(best, "ref_id").select(*names, F.col("_b.cluster_id").alias("cluster_id"), F.col("_b.d").alias("d"))
 
 
-def _assigner(shared, extra: int):
-    return lambda batches: _assign(batches, shared.value, extra)
+def _assigner(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _with_nearest(pa.Table.from_batches([batch]), shared.value).to_batches()
+
+    return run
 
 
 def centroid_means(assigned: DataFrame) -> DataFrame:
@@ -112,21 +141,30 @@ def lloyd_step(refs: DataFrame, centroids: DataFrame, reseed: int | None = None)
 
 def spread_seeds(refs: DataFrame, target: int = TARGET, rounds: int = 4, seed: int = 1) -> DataFrame:
     """k-means++ seeding as rounds of oversampling: a point becomes a candidate with a chance in proportion to its
-    squared distance from the candidates so far, decided by a hash. A bucket's heaviest candidates are its seeds."""
-    sizes = cluster_sizes(refs, target)
+    squared distance from the candidates so far, decided by a hash. A bucket's heaviest candidates are its seeds; where
+    they are too few, other points of the bucket follow in the order of their hash."""
+    sizes = F.broadcast(cluster_sizes(refs, target))  # a row for each of 16 buckets
     first = refs.groupBy("bucket").agg(F.min_by(F.struct("ref_id", *STORED), F.xxhash64("ref_id", F.lit(seed))).alias("p"))
     candidates = first.select("bucket", F.col("p.ref_id").alias("cluster_id"), *[F.col("p")[c].alias(c) for c in STORED]).checkpoint()
+    points = refs.select("ref_id", "bucket", *STORED)
     for r in range(rounds):
-        near = assign(refs.select("ref_id", "bucket", *STORED), candidates)
-        weight = near.groupBy("bucket").agg(F.sum(F.col("d").cast("double")).alias("w"))
+        near = assign(points, candidates)
+        weight = F.broadcast(near.groupBy("bucket").agg(F.sum(F.col("d").cast("double")).alias("w")))
         chance = 2.0 * F.col("clusters") * F.col("d") / (rounds * F.col("w"))
         luck = F.pmod(F.xxhash64("ref_id", F.lit(seed * 1000 + r)), F.lit(1 << 30)) / float(1 << 30)
         fresh = near.drop("cluster_id").join(sizes, "bucket").join(weight, "bucket").where((F.col("d") > 0) & (luck < chance))
         candidates = candidates.unionByName(fresh.select("bucket", F.col("ref_id").alias("cluster_id"), *STORED)).checkpoint()
-    weights = assign(refs.select("ref_id", "bucket", *STORED), candidates).groupBy("bucket", "cluster_id").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("bucket").orderBy(F.col("n").desc(), "cluster_id")
-    best = candidates.join(weights, ["bucket", "cluster_id"]).withColumn("_r", F.row_number().over(order) - 1).join(sizes, "bucket").where("_r < clusters")
-    return best.select("bucket", F.col("_r").cast("long").alias("cluster_id"), F.col("cluster_id").alias("ref_id"), *STORED)
+    weights = assign(points, candidates).groupBy("bucket", "cluster_id").agg(F.count("*").alias("n"))
+    heavy = candidates.select("bucket", "cluster_id").join(weights, ["bucket", "cluster_id"], "left")
+    others = points.select("bucket", "ref_id").join(candidates.select(F.col("cluster_id").alias("ref_id")), "ref_id", "left_anti")
+    others = others.select("bucket", F.col("ref_id").alias("cluster_id"), F.struct(F.lit(1).alias("late"), F.xxhash64("ref_id", F.lit(seed)).alias("by"), F.col("ref_id").alias("id")).alias("_o"))
+    # Only buckets that are short of candidates take others.
+    short = candidates.groupBy("bucket").agg(F.count("*").alias("c")).join(sizes, "bucket").where("c < clusters").select("bucket")
+    every = heavy.select("bucket", "cluster_id", F.struct(F.lit(0).alias("late"), (-F.coalesce("n", F.lit(0))).cast("long").alias("by"), F.col("cluster_id").alias("id")).alias("_o"))
+    every = every.unionByName(others.join(F.broadcast(short), "bucket", "left_semi"))
+    chosen = ranked(every, "bucket", "_o").join(sizes.select("bucket", "clusters"), "bucket").where("rank_in_key < clusters")
+    chosen = chosen.select(F.col("cluster_id").alias("_seed"), F.col("rank_in_key").cast("long").alias("cluster_id"))
+    return refs.join(chosen, F.col("ref_id") == F.col("_seed")).select("bucket", "cluster_id", "ref_id", *STORED)
 
 
 def with_coarse_centres(centroids: DataFrame) -> DataFrame:
@@ -147,12 +185,12 @@ def write(points: DataFrame, centroids: DataFrame, path: str) -> None:
     points.repartition("bucket", "cluster_id").sortWithinPartitions("bucket", "cluster_id", "ref_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/points")
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
     facts = points.agg(F.count("*").alias("nrefs")).crossJoin(centroids.agg(F.count("*").alias("nclust")))
-    facts.select(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(len(features.STORED)).alias("vdim"), F.lit(16).alias("nbuckets"), F.lit(features.SCALE).alias("scale"), "nrefs", "nclust").write.mode("overwrite").parquet(f"{path}/meta")
+    facts.select(F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"), F.lit(len(features.STORED)).alias("vdim"), F.lit(BUCKETS).alias("nbuckets"), F.lit(features.SCALE).alias("scale"), "nrefs", "nclust").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tables of an index; one of another layout is refused."""
     facts = spark.read.parquet(f"{path}/meta").first()
-    if (facts["format"], facts["version"], facts["vdim"], facts["scale"]) != (FORMAT, VERSION, len(features.STORED), features.SCALE):
+    if (facts["format"], facts["version"], facts["vdim"], facts["nbuckets"], facts["scale"]) != (FORMAT, VERSION, len(features.STORED), BUCKETS, features.SCALE):
         raise ValueError(f"{path} is no index of this layout: {facts}")
     return spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/centroids")

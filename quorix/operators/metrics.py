@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorix.session import shared_dir
+
 #: Fixed values of the score.
 K, T_MAX, P99_MIN, P99_MAX, EPS_MIN, BETA, RATE_CUT, CUT = 1000.0, 1000.0, 1.0, 2000.0, 0.001, 300.0, 0.15, -3000.0
 W_FP, W_FN, W_ERR = 1, 3, 5
@@ -43,7 +45,9 @@ def _places(df: DataFrame, value: str) -> DataFrame:
     sorts all rows.
     """
     counts = df.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))
-    parts = counts.repartitionByRange("x").withColumn("_part", F.spark_partition_id())
+    shared_dir(df.sparkSession)
+    # Written down, so that both uses see the same partitions.
+    parts = counts.repartitionByRange("x").withColumn("_part", F.spark_partition_id()).checkpoint()
     totals = parts.groupBy("_part").agg(F.sum("c").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = totals.select("_part", before.alias("before"))

@@ -1,14 +1,15 @@
 """k nearest references by squared Euclidean distance, exact or over quantized and clustered shortlists.
 
-The queries are the stated set: they go to the executors in slices of bounded size, each against all references, so
-references are never shuffled. A task keeps k candidates a query and slice; only these are shuffled for the last
-ranking. Distances are exact: whole numbers below 2**53 in matrix products.
+The queries are the stated set. Up to a counted bound they are broadcast and references stay where they lie; a task keeps
+k candidates a query, and only these are shuffled for the last ranking. A larger set, and a search by cluster, is a
+blocked join: references and queries are cut in parts of bounded size, each pair of parts that share a key meets in one
+group, and of each group k candidates a query remain. The driver sees counts and, within the bound, one set of queries.
+Distances are exact: whole numbers below 2**53 in matrix products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +19,9 @@ from pyspark.sql import functions as F
 from quorix.functions import features
 from quorix.session import shared_dir
 
-SLICE_ROWS = 50_000
+SLICE_ROWS, REF_ROWS = 50_000, 200_000
 _CELLS = 1 << 22
-
-
-def slices(queries: DataFrame, by: str, rows: int = SLICE_ROWS) -> Iterator[list]:
-    """The rows of a table in lists of bounded size, dealt by hash."""
-    shared_dir(queries.sparkSession)
-    queries = queries.checkpoint()  # a slice each is read from it
-    parts = max(1, -(-queries.count() // rows))
-    for i in range(parts):
-        yield (queries if parts == 1 else queries.where(F.pmod(F.xxhash64(by), F.lit(parts)) == i)).collect()
+_FOUND = "query_id long, d long, ref_id long, fraud long, d2 long"
 
 
 def _best(query: np.ndarray, distance: np.ndarray, ref: np.ndarray, k: int) -> np.ndarray:
@@ -40,34 +33,42 @@ def _best(query: np.ndarray, distance: np.ndarray, ref: np.ndarray, k: int) -> n
 
 
 class _Side:
-    """Queries of a slice: ids, coordinates for the ranking and for the second distance, grouped by key."""
-
-    def __init__(self, rows: list, keys: Sequence[str], dims: Sequence[str], second: Sequence[str]):
-        self.ids = np.array([r["query_id"] for r in rows], np.int64)
-        self.at = np.array([[r[d] for d in dims] for r in rows], np.float64).reshape(len(rows), len(dims))
-        self.second = np.array([[r[d] for d in second] for r in rows], np.int64).reshape(len(rows), len(second))
-        self.groups: dict[tuple, np.ndarray] = {}
-        for i, r in enumerate(rows):
-            self.groups.setdefault(tuple(r[c] for c in keys), []).append(i)
-        self.groups = {key: np.array(at) for key, at in self.groups.items()}
-
-
-def _search(batches: Iterator[pa.RecordBatch], side: _Side, n_keys: int, n_dims: int, n_second: int, k: int, skip_self: bool) -> Iterator[pa.RecordBatch]:
-    kept = [np.empty(0, np.int64)] * 5
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        ref, fraud, keys = columns[0], columns[1].astype(np.int64), columns[2 : 2 + n_keys]
-        points = np.stack(columns[2 + n_keys : 2 + n_keys + n_dims], axis=1).astype(np.float64)
-        exact = np.stack(columns[2 + n_keys + n_dims :], axis=1).astype(np.int64) if n_second else np.empty((len(ref), 0), np.int64)
-        if n_keys:
-            order = np.lexsort(keys[::-1])
-            stacked = np.stack([c[order] for c in keys])
-            cut = np.flatnonzero(np.r_[True, (np.diff(stacked, axis=1) != 0).any(axis=0)]) if len(order) else order
-            parts = [(tuple(int(c[order[a]]) for c in keys), order[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(order)], strict=True)]
-        else:
-            parts = [((), np.arange(len(ref)))]
-        found = [[x] for x in kept]
-        for key, rows in parts:
+    """Queries: ids, coordinates for the ranking and for the second distance, grouped by key."""
+
+    def __init__(self, table: pa.Table, keys: Sequence[str], dims: Sequence[str], second: Sequence[str]):
+        self.ids = table["query_id"].to_numpy().astype(np.int64)
+        self.at, self.second = _matrix(table, dims, np.float64), _matrix(table, second, np.int64)
+        self.groups = {key: rows for key, rows in _by_key(table, keys)}
+
+
+def _matrix(table: pa.Table, names: Sequence[str], kind) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in names], axis=1).astype(kind) if names else np.empty((table.num_rows, 0), kind)
+
+
+def _by_key(table: pa.Table, keys: Sequence[str]) -> list[tuple[tuple, np.ndarray]]:
+    """The rows of each key."""
+    if not keys or not table.num_rows:
+        return [((), np.arange(table.num_rows))]
+    columns = [table[c].to_numpy() for c in keys]
+    order = np.lexsort(columns[::-1])
+    stacked = np.stack([c[order] for c in columns])
+    cut = np.flatnonzero(np.r_[True, (np.diff(stacked, axis=1) != 0).any(axis=0)])
+    return [(tuple(int(c[order[a]]) for c in columns), order[a:b]) for a, b in zip(cut, np.r_[cut[1:], len(order)], strict=True)]
+
+
+class _Nearest:
+    """The k nearest of the references met so far, for each query of a side."""
+
+    def __init__(self, side: _Side, keys: Sequence[str], dims: Sequence[str], second: int, k: int, skip_self: bool):
+        self.side, self.keys, self.dims, self.n_second, self.k, self.skip_self = side, keys, dims, second, k, skip_self
+        self.kept = [np.empty(0, np.int64)] * 5
+
+    def meet(self, table: pa.Table) -> None:
+        side, k = self.side, self.k
+        ref, fraud = table["ref_id"].to_numpy().astype(np.int64), table["fraud"].to_numpy().astype(np.int64)
+        points, exact = _matrix(table, self.dims, np.float64), _matrix(table, [f"_s{i}" for i in range(self.n_second)], np.int64)
+        found = [[x] for x in self.kept]
+        for key, rows in _by_key(table, self.keys):
             own = side.groups.get(key)
             if own is None or not len(rows):
                 continue
@@ -77,20 +78,38 @@ def _search(batches: Iterator[pa.RecordBatch], side: _Side, n_keys: int, n_dims:
             for at in range(0, len(own), step):
                 q = own[at : at + step]
                 d = (side.at[q] ** 2).sum(axis=1)[:, None] + rr - 2.0 * (side.at[q] @ r.T)
-                if skip_self:
+                if self.skip_self:
                     d[side.ids[q][:, None] == ref[rows]] = np.inf
                 limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
                 i, j = np.nonzero((d <= limit) & np.isfinite(d))
+                near = d[i, j].astype(np.int64)
+                # Of equal distances at the limit only the smaller ids stay.
+                best = _best(i, near, ref[rows[j]], k)
+                i, j, near = i[best], j[best], near[best]
                 delta = exact[rows[j]] - side.second[q[i]]
-                for x, y in zip(found, (side.ids[q[i]], d[i, j].astype(np.int64), ref[rows[j]], fraud[rows[j]], (delta * delta).sum(axis=1)), strict=True):
+                for x, y in zip(found, (side.ids[q[i]], near, ref[rows[j]], fraud[rows[j]], (delta * delta).sum(axis=1)), strict=True):
                     x.append(y)
         kept = [np.concatenate(x) for x in found]
         best = _best(kept[0], kept[1], kept[2], k)
-        kept = [x[best] for x in kept]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in kept], names=["query_id", "d", "ref_id", "fraud", "d2"])
+        self.kept = [x[best] for x in kept]
 
+    def table(self) -> pa.Table:
+        return pa.table([pa.array(x, pa.int64()) for x in self.kept], names=["query_id", "d", "ref_id", "fraud", "d2"])
 
-def nearest(refs: DataFrame, queries: DataFrame, dims: Sequence[str], k: int, keys: Sequence[str] = (), second: Sequence[str] = (), skip_self: bool = True, slice_rows: int = SLICE_ROWS) -> DataFrame:
+
+def salted(df: DataFrame, by: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
+    """df cut in `parts` parts, numbered in column `own`, each once for all `copies` parts of the other side."""
+    cut = df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int") if parts > 1 else F.lit(0))
+    return cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))) if copies > 1 else F.lit(0))
+
+
+def _most(df: DataFrame, keys: Sequence[str]) -> tuple[int, int, int]:
+    """Rows, keys, and rows of the largest key."""
+    r = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n"), F.count("*"), F.max("n")).first()
+    return int(r[0] or 0), max(1, int(r[1])), int(r[2] or 0)
+
+
+def nearest(refs: DataFrame, queries: DataFrame, dims: Sequence[str], k: int, keys: Sequence[str] = (), second: Sequence[str] = (), skip_self: bool = True, slice_rows: int = SLICE_ROWS, ref_rows: int = REF_ROWS) -> DataFrame:
     """query_id, ref_id, d, fraud, d2 (over `second`) and rn of the k nearest references that agree in keys.
 
     refs: ref_id, fraud, keys, dims; queries: query_id and the same. Equal distances go to the smaller ref_id.
@@ -98,17 +117,44 @@ def nearest(refs: DataFrame, queries: DataFrame, dims: Sequence[str], k: int, ke
     """
     spark = refs.sparkSession
     picked = refs.select("ref_id", F.col("fraud").cast("int").alias("fraud"), *keys, *dims, *[F.col(c).alias(f"_s{i}") for i, c in enumerate(second)])
-    found = []
-    for rows in slices(queries.select("query_id", *dict.fromkeys((*keys, *dims, *second))), "query_id", slice_rows):
-        shared = spark.sparkContext.broadcast(_Side(rows, keys, dims, second))
-        found.append(picked.mapInArrow(_runner(shared, len(keys), len(dims), len(second), k, skip_self), "query_id long, d long, ref_id long, fraud long, d2 long"))
+    shared_dir(spark)
+    asked = queries.select("query_id", *dict.fromkeys((*keys, *dims, *second))).checkpoint()
+    n_asked, _, most_asked = _most(asked, keys)
+    if len(keys) < 2 and n_asked <= slice_rows:
+        shared = spark.sparkContext.broadcast(_Side(asked.toArrow(), keys, dims, second))
+        found = picked.mapInArrow(_runner(shared, keys, dims, len(second), k, skip_self), _FOUND)
+    else:
+        n, kinds, most = _most(picked, keys)
+        tasks = spark.sparkContext.defaultParallelism
+        s = max(1, -(-most // ref_rows), min(-(-tasks // kinds), -(-most // 4096)))
+        t = max(1, -(-most_asked // slice_rows))
+        by = [*keys, "_s", "_t"]
+        a, b = salted(picked, "ref_id", "_s", s, "_t", t), salted(asked, "query_id", "_t", t, "_s", s)
+        groups = max(4 * tasks, -(-n // ref_rows))
+        if kinds > groups:  # many small keys share a group
+            mixed = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
+            a, b, by = a.withColumn("_g", mixed), b.withColumn("_g", mixed), ["_g", "_s", "_t"]
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = _Nearest(_Side(right, keys, dims, second), keys, dims, len(second), k, skip_self)
+            if left.num_rows and right.num_rows:
+                found.meet(left)
+            return found.table()
+
+        found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(meet, _FOUND)
     order = Window.partitionBy("query_id").orderBy("d", "ref_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    ranked = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
     return ranked.select("query_id", "ref_id", "d", "fraud", "d2", "rn")
 
 
 def _runner(shared, *rest):
-    return lambda batches: _search(batches, shared.value, *rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Nearest(shared.value, *rest)
+        for batch in batches:
+            found.meet(pa.Table.from_batches([batch]))
+        yield from found.table().to_batches()
+
+    return run
 
 
 def rerank(shortlist: DataFrame, k: int) -> DataFrame:
@@ -142,20 +188,31 @@ def search_bucket(refs: DataFrame, queries: DataFrame, k: int = features.K) -> D
     return nearest(refs, queries, STORED, k, keys=["bucket"])
 
 
+#: Bounds of the shortlist and of the probes.
+SHORTLIST, PROBES = (5, 64), (1, 512)
+
+
+def bounded(value: int, bounds: tuple[int, int]) -> int:
+    return min(max(int(value), bounds[0]), bounds[1])
+
+
 def search_coarse(refs: DataFrame, queries: DataFrame, shortlist: int = 16) -> DataFrame:
-    """The shortlist by coarse distance d, with the exact distance in d2."""
+    """The shortlist (5 to 64) by coarse distance d, with the exact distance in d2."""
+    shortlist = bounded(shortlist, SHORTLIST)
     return nearest(with_coarse(refs), with_coarse(queries), COARSE, shortlist, keys=["bucket"], second=STORED)
 
 
 def probe_list(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """query_id, bucket, cluster_id, d, rn of the nprobe nearest clusters of each query, by coarse distance."""
+    """query_id, bucket, cluster_id, d, rn of the nprobe (1 to 512) nearest clusters of each query, by coarse distance."""
+    nprobe = bounded(nprobe, PROBES)
     points = centroids.select(F.col("cluster_id").alias("ref_id"), F.lit(False).alias("fraud"), "bucket", *[F.col(f"e{i}") for i in features.STORED])
     found = nearest(points, with_coarse(queries), COARSE, nprobe, keys=["bucket"], skip_self=False)
     return queries.select("query_id", "bucket").join(found, "query_id").select("query_id", "bucket", F.col("ref_id").alias("cluster_id"), "d", "rn")
 
 
 def search_clusters(points: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 6, shortlist: int = 16, k: int = features.K) -> DataFrame:
-    """The k nearest of the points in the nprobe nearest clusters, over a coarse shortlist."""
+    """The k nearest of the points in the nprobe nearest clusters, over a coarse shortlist (5 to 64)."""
+    shortlist = bounded(shortlist, SHORTLIST)
     probes = probe_list(queries, centroids, nprobe).select("query_id", "cluster_id")
     wide = with_coarse(queries).join(probes, "query_id")
     return rerank(nearest(with_coarse(points), wide, COARSE, shortlist, keys=["bucket", "cluster_id"], second=STORED), k)
@@ -163,7 +220,8 @@ def search_clusters(points: DataFrame, centroids: DataFrame, queries: DataFrame,
 
 def search_adaptive(points: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int = 6, confirm: int = 192, shortlist: int = 16) -> DataFrame:
     """Votes at nprobe; queries with 1 to 4 frauds, or 5 and an extreme profile, are searched again at confirm."""
-    first = vote(queries, search_clusters(points, centroids, queries, nprobe, shortlist))
+    shared_dir(points.sparkSession)
+    first = vote(queries, search_clusters(points, centroids, queries, nprobe, shortlist)).checkpoint()  # read for the flags and for the result
     flagged = first.join(queries.select("query_id", "extreme"), "query_id")
     again = F.col("frauds").between(1, features.K - 1) | ((F.col("frauds") == features.K) & F.col("extreme"))
     if not 0 < nprobe < confirm:

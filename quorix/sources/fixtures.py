@@ -22,7 +22,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = events.withColumns({
         "prev_sec": F.lag("sec").over(order), "prev_type": F.lag("event_type").over(order),
         "cust_avg": cents(F.avg("value").over(user)), "tx_count_24h": F.count("*").over(day).cast("int"),
-    }).join(kinds, "event_type")
+    }).join(F.broadcast(kinds), "event_type")  # a handful of types
     iso = lambda sec: F.date_format(F.timestamp_seconds(sec), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return out.select(
         F.col("event_id").alias("request_id"), "user_id", "event_type", (F.col("value") * 10.0).alias("amount"), (F.col("k") % 12 + 1).alias("installments"),

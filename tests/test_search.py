@@ -152,3 +152,34 @@ def test_stream_equals_batch(spark, pair):
 def test_kernel_distances_are_exact():
     a, b = np.full(14, 10000.0), np.full(14, -10000.0)
     assert (a * a).sum() + (b * b).sum() - 2 * (a @ b) == 14 * 20000**2
+
+
+def test_ranks_of_wide_rows_in_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        wide = spark.range(400_000).select((F.col("id") % 16).alias("bucket"), F.col("id").alias("ref_id"), *[(F.col("id") * (i + 3) % 1009).alias(f"c{i}") for i in range(14)])
+        bad = index.ranked(wide, "bucket", "ref_id").agg(F.count("*"), F.count_if(F.col("rank_in_key") != F.expr("ref_id div 16"))).first()
+        assert tuple(bad) == (400_000, 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_blocked_join_gives_the_same(pair):
+    refs, queries = pair
+    for keys, dims in (((), search.FULL), (("bucket",), search.STORED)):
+        plain = search.nearest(refs, queries, dims, 5, keys=keys)
+        assert listed(search.nearest(refs, queries, dims, 5, keys=keys, slice_rows=3, ref_rows=40)) == listed(plain)
+
+
+def test_spread_seeds_are_as_many_as_clusters(spark):
+    # Equal points give oversampling one candidate a bucket; others fill up.
+    refs = spark.range(400).select(F.col("id").alias("ref_id"), (F.col("id") % 2).cast("int").alias("bucket"), *[F.lit(7).alias(c) for c in search.STORED])
+    got = index.spread_seeds(refs, target=20).groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("ref_id").alias("ids"), F.max("cluster_id").alias("top")).collect()
+    assert {(r.bucket, r.n, r.ids, r.top) for r in got} == {(0, 10, 10, 9), (1, 10, 10, 9)}
+
+
+def test_bounds_of_parameters(pair):
+    refs, queries = pair
+    assert search.search_coarse(refs, queries, 1).groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
+    assert search.bounded(1000, search.SHORTLIST) == 64 and search.bounded(0, search.PROBES) == 1 and search.bounded(600, search.PROBES) == 512
