@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .graph import spread_join
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -42,18 +43,24 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    payload = F.coalesce(F.col(html), F.lit(""))
-    return pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("html")).withColumns(
+    payload = F.coalesce(common.named(html), F.lit(""))
+    return pages.select(common.named(page_id).alias("page_id"), common.named(url).alias("url"), payload.alias("html")).withColumns(
         {"digest": base32_sha1(F.col("html").cast("binary")), "n": F.octet_length("html").cast("long")}
     )
 
 
-def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """headers (page_id, digest, n) -> one row for each distinct header with refers_to, null for responses."""
-    originals = headers.where(F.col("n") >= least_bytes).groupBy(F.col("digest").alias("_digest")).agg(F.max("page_id").alias("_original"))
-    joined = headers.distinct().join(originals, F.col("digest") == F.col("_digest"), "left")
-    revisit = (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_original"))
-    return joined.select("page_id", "digest", "n", F.when(revisit, F.col("_original")).alias("refers_to"))
+def resolve_revisits(headers: DataFrame, least_bytes: int = 0, rows: int | None = None) -> DataFrame:
+    """headers (page_id, digest, n) -> one row for each distinct header with refers_to, null for responses.
+
+    The few digests that more than a thousandth of all rows have are broadcast, so that no task gets a group of copies.
+    """
+    once = headers.distinct()
+    bound = F.col("n") >= least_bytes
+    originals = headers.where(bound).groupBy("digest").agg(F.max("page_id").alias("_original"), F.count("*").alias("_copies"))
+    joined = spread_join(once.where(bound), originals, "digest", "_copies", headers.count() if rows is None else rows)
+    revisit = ~F.col("page_id").eqNullSafe(F.col("_original"))
+    found = joined.select("page_id", "digest", "n", F.when(revisit, F.col("_original")).alias("refers_to"))
+    return found.union(once.where(~bound).select("page_id", "digest", "n", F.lit(None).cast(headers.schema["page_id"].dataType)))
 
 
 def _record(date: str) -> Column:
@@ -80,8 +87,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     keyed = _keyed(pages, page_id, url, html)
     # A key without nulls, so that the join uses the partitions that the pages are placed in.
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    verdicts = resolve_revisits(keyed.select("page_id", "digest", "n"), least_bytes).select(name.alias("_id"), "digest", "refers_to")
-    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    verdicts = resolve_revisits(keyed.select("page_id", "digest", "n"), least_bytes, pages.count()).select(name.alias("_id"), "digest", "refers_to")
+    total = pages.agg(F.sum(F.octet_length(common.named(html)))).first()[0] or 0
     files = max(common.n_partitions(spark), -(-int(total) // archive_bytes))
     # One shuffle of the pages by id places them, joins the verdict and sets the size of the archives.
     placed = keyed.withColumn("_id", name).repartition(files, "_id", "digest")
@@ -134,10 +141,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives under path; a revisit has the length of the response that it refers to."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    records = files.mapInArrow(_parse, RECORD_SCHEMA)
-    responses = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
-    joined = records.join(responses, F.col("refers_to").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("record_type") == "revisit"), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
+    records = common.cut(files.mapInArrow(_parse, RECORD_SCHEMA))  # headers only, each archive is walked once
+    rows = records.count()
+    size = F.max(F.when(F.col("record_type") == "response", F.col("payload_bytes")))
+    responses = records.groupBy("payload_digest").agg(size.alias("_bytes"), F.count_if(F.col("record_type") == "revisit").alias("_copies"))
+    revisits = spread_join(records.where("record_type = 'revisit'").drop("payload_bytes"), responses, "payload_digest", "_copies", rows).withColumnRenamed("_bytes", "payload_bytes")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"]
+    return records.where("record_type = 'response'").select(*columns).union(revisits.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
