@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,29 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_TIDY, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: later plans read it instead of computing df again."""
+def tidied(operator):
+    """An operator of which no query on the way to its result leaves shuffle files behind."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        with tidy(docs.sparkSession):
+            out = operator(docs, *args, **how)
+        return out.select("*")
+
+    return run
+
+
+#: Rows a task of tables whose rows are counted and a few numbers wide.
+FEW = 20_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Reliable checkpoint in the shared folder: later plans read it instead of computing df again. With the number of
+    rows, in no more tasks and files than these need."""
     shared_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+        df = df.select("*") if rows is None else df.coalesce(max(1, -(-rows // FEW)))
+        return df.checkpoint(eager=True)
 
 
 def table(df: DataFrame, what: str) -> DataFrame:

@@ -33,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Only nodes with an edge appear. Rounds end when the edges are stars and no longer change.
     """
-    now = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    rows, sign = now.count(), None
+    rows, sign = edges.count(), None
+    now = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rows)
     while True:
-        now = common.cut(_stars(now, rows))
+        now = common.cut(_stars(now, rows), 2 * rows)
         last, sign = sign, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         rows = sign[0]
         if sign == last:

@@ -488,6 +488,7 @@ def node_components(sets: DataFrame, buckets: int) -> DataFrame:
     return labels
 
 
+@common.tidied
 def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, mark (a hash of the text) and comp (the component's own name, null without
     words) of every row of docs."""
@@ -514,6 +515,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id"
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "mark", F.when(F.col("n") > 0, F.col("comp")).alias("comp"))
 
 
+@common.tidied
 def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that with the smallest id, null last; of several rows with that id the one whose text
     has the smallest hash, once. Rows without words stay, of those with equal id and text one."""

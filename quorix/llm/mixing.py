@@ -94,6 +94,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int =
     return sizes, limits, rows
 
 
+@common.tidied
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken (= size * copies) of every document."""
     sizes, limits, rows = plan(docs, weights, max_repeat, doc_id, text, source)
@@ -102,6 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+@common.tidied
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_repeat: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, with `copies` (in place of a column of that name); texts stay where they lie."""
     _, limits, rows = plan(docs, weights, max_repeat, doc_id, text, source)

@@ -174,11 +174,13 @@ def verdict(n_words: Column, n_repeat_words: Column, counts: str = "", lower: st
     return ok
 
 
+@common.tidied
 def learned_fences(docs: DataFrame, reach: float = 1.0, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     counts = docs.select(common.named(lang).alias("lang"), common.named(source).alias("source"), text_counts(common.named(text)).alias("c")).select("lang", "source", "c.*")
     return common.cut(fences(common.cut(sketches(counts)), reach, least))
 
 
+@common.tidied
 def judge(docs: DataFrame, reach: float = 1.0, least: int = 50, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, lang, source, the counts, base_failed and kept of every document."""
     counts = common.cut(docs.select(common.named(doc_id).alias("doc_id"), common.named(lang).alias("lang"), common.named(source).alias("source"), text_counts(common.named(text)).alias("c")).select("doc_id", "lang", "source", "c.*"))
@@ -188,6 +190,7 @@ def judge(docs: DataFrame, reach: float = 1.0, least: int = 50, doc_id: str = "d
     return joined.select("doc_id", "lang", "source", *[c.split()[0] for c in COUNTS.split(", ")], base_failed(n, r).alias("base_failed"), verdict(n, r).alias("kept"))
 
 
+@common.tidied
 def keep_good(docs: DataFrame, reach: float = 1.0, least: int = 50, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that pass; texts are counted where they lie and never shuffled: once for the sketches, once for
     the verdict."""
