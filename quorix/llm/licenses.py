@@ -77,7 +77,9 @@ def match_headers(found: DataFrame, against: tuple = TEMPLATES) -> DataFrame:
     spark = found.sparkSession
     found = common.cut(found)
     total = found.count()
-    terms = found.select("_row", "no", F.size(F.split(F.trim("header"), r"\s+")).alias("n_words"), F.explode(_terms(F.col("header"))).alias("term"))
+    # Words are counted before the terms become rows; above them, each row would split its whole text again.
+    sized = found.select("_row", "no", F.size(F.split(F.trim("header"), r"\s+")).alias("n_words"), _terms(F.col("header")).alias("terms"))
+    terms = sized.select("_row", "no", "n_words", F.explode("terms").alias("term"))
     counted = terms.groupBy("_row", "no", "n_words", "term").agg(F.count("*").alias("tf"))
     known = common.cut(counted.groupBy("term").agg(F.count("*").alias("df")))
     templates = template_terms(spark, against)
@@ -104,9 +106,10 @@ def match_headers(found: DataFrame, against: tuple = TEMPLATES) -> DataFrame:
 
 def scan(files: DataFrame, least: float = 0.6, least_whole: float = 0.8, file_id: str = "file_id", path: str = "path", text: str = "text") -> DataFrame:
     """file_id, path, own_license, cosine, license and license_dir (where it comes from; null: own or none)."""
-    picked = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(text).alias("text"))
+    picked = files.select(common.named(file_id).alias("file_id"), common.named(path).alias("path"), common.named(text).alias("text"))
     picked = picked.withColumn("_row", F.xxhash64("file_id", "path", "text"))
-    candidates = common.cut(picked.select("_row", "path", "text").dropDuplicates(["_row"]).where(F.col("text").rlike(CUE) | F.col("path").rlike(NAME)))
+    # Texts without a cue never leave the task that reads them.
+    candidates = common.cut(picked.where(F.col("text").rlike(CUE) | F.col("path").rlike(NAME)).select("_row", "path", "text").dropDuplicates(["_row"]))
     matched = match_headers(headers(candidates)).where(F.col("cosine") >= least)
     whole = match_headers(candidates.select("_row", F.lit(0).alias("no"), F.col("text").alias("header")), full_texts()).where(F.col("cosine") >= least_whole)
     whole = whole.select("_row", F.col("license").alias("whole"), F.col("cosine").alias("whole_cosine"))
@@ -123,9 +126,9 @@ def scan(files: DataFrame, least: float = 0.6, least_whole: float = 0.8, file_id
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
     lineage = dirs.select("dir", F.explode(F.array_distinct(above)).alias("up"))
     nearest = lineage.join(of_dir.toDF("up", "dir_license"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "dir_license"), F.length("up")).alias("near"))
-    nearest = nearest.select(F.col("dir").alias("_dir"), "near.up", "near.dir_license")
+    nearest = common.cut(nearest.select(F.col("dir").alias("_dir"), "near.up", "near.dir_license"))
     inherits = F.col("license").isNull() & (F.col("dir") == F.col("_dir"))
-    out = judged.join(nearest, inherits, "left")
+    out = judged.join(common.small_side(nearest, nearest.count()), inherits, "left")
     return out.select("file_id", "path", F.col("license").alias("own_license"), "cosine", F.coalesce("license", "dir_license").alias("license"), F.when(F.col("license").isNull(), F.col("up")).alias("license_dir"))
 
 
