@@ -194,3 +194,17 @@ _add("dataset_stats", _REQ, "SELECT count(*) AS total, count(*) FILTER (fraud) A
 _add("topn_limit", "", "SELECT event_id AS request_id, value * 10e0 AS amount FROM events ORDER BY amount DESC, request_id LIMIT 100")
 _add("round_robin_assign", "", "SELECT event_id AS request_id, CAST((row_number() OVER (ORDER BY event_id) - 1) % 2 AS INTEGER) AS backend FROM events")
 _add("stream_score", _SAME, f"SELECT query_id AS request_id, false AS malformed, frauds, approved, score FROM ({_vote('nb')})")
+_add("verify_policy", _FULL + f""",
+pb AS (SELECT q.ref_id AS query_id, r.ref_id, r.fraud, {_distance('q', STORED)} AS d FROM qs q JOIN vec r ON r.bucket = q.bucket AND r.ref_id <> q.ref_id),
+{_top('nb', 'pb', 5)},
+v0 AS ({_vote('nf')}), v1 AS ({_vote('nb')}),
+vp AS (SELECT qs.ref_id % 100 <> 0 AS good, qs.ref_id % 60 <> 0 AS labelled, NOT qs.fraud AS expected, v1.approved, v1.frauds, v0.frauds AS ff FROM qs JOIN v0 ON v0.query_id = qs.ref_id JOIN v1 ON v1.query_id = qs.ref_id),
+vc AS (SELECT count(*) AS entries, count(*) FILTER (NOT good) AS parse_fail, count(*) FILTER (good AND labelled AND approved <> expected) AS approved_mismatch, count(*) FILTER (good AND frauds <> ff) AS full_mismatch FROM vp)""",
+"SELECT entries, parse_fail, approved_mismatch, round(1e2 * approved_mismatch / entries * 1e4) / 1e4 AS approved_mismatch_pct, full_mismatch FROM vc")
+ORACLES["replay_with_wrap"] = """WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place, count(*) OVER () AS n FROM events)
+SELECT r.i AS request_no, e.event_id AS entry_id FROM range(0, (SELECT count(*) + 500 FROM events)) r(i) JOIN e ON r.i % e.n = e.place"""
+ORACLES["scan_throughput"] = """WITH t AS (SELECT count(*) AS queries, sum(value) / 1e3 AS s FROM events)
+SELECT queries, round(s * 1e3) / 1e3 AS seconds, round(s / queries * 1e6 * 1e3) / 1e3 AS us_per_query, round(queries / s * 1e3) / 1e3 AS per_second FROM t"""
+_add("metrics_by_name", _JUDGED, "SELECT CAST(row_number() OVER (ORDER BY metric) - 1 AS INTEGER) AS place, metric, CAST(value AS DOUBLE) AS value FROM (UNPIVOT (SELECT tp, tn, fp, fn, err FROM conf) ON tp, tn, fp, fn, err INTO NAME metric VALUE value)")
+_add("result_report", _JUDGED, """SELECT '{"err":' || err || ',"fn":' || fn || ',"fp":' || fp || ',"tn":' || tn || ',"tp":' || tp || '}' AS result FROM conf""")
+ORACLES["stream_score_index"] = f"SELECT query_id AS request_id, false AS malformed, frauds, approved, score FROM ({ORACLES['adaptive_policy']})"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quorix.functions import features
-from quorix.operators import index, metrics, search
+from quorix.operators import index, jobs, metrics, search
 from quorix.session import new_folder, shared_dir, ship
 from quorix.sources import fixtures, payload
 from quorix.streaming import scorer
@@ -390,3 +390,45 @@ def stream_score(spark, sf_dir):
     _payloads(spark, sf_dir).where("request_id % 20 = 0").repartition(3).write.parquet(source)
     scorer.start(spark, source, target, marks, refs).awaitTermination()
     return spark.read.parquet(target).drop("batch")
+
+
+@registered
+def verify_policy(spark, sf_dir):
+    """Every hundredth payload is cut short, every sixtieth has no label."""
+    entries = _payloads(spark, sf_dir).join(_refs(spark, sf_dir).select(F.col("ref_id").alias("request_id"), "fraud"), "request_id").where("request_id % 20 = 0")
+    entries = entries.select(F.col("request_id").alias("entry_id"), F.when(F.col("request_id") % 100 == 0, F.expr("left(payload, 40)")).otherwise(F.col("payload")).alias("payload"), F.when(F.col("request_id") % 60 != 0, ~F.col("fraud")).alias("expected_approved"))
+    return jobs.verify(entries, _refs(spark, sf_dir).checkpoint())
+
+
+@registered
+def replay_with_wrap(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return jobs.replay(events, "event_id", events.count() + 500)
+
+
+@registered
+def scan_throughput(spark, sf_dir):
+    return jobs.throughput(_latency(spark, sf_dir), "value")
+
+
+CONFUSION = ("tp", "tn", "fp", "fn", "err")
+
+
+@registered
+def metrics_by_name(spark, sf_dir):
+    return jobs.metric_rows(metrics.confusion(_judged(spark, sf_dir)), CONFUSION)
+
+
+@registered
+def result_report(spark, sf_dir):
+    return jobs.result_json(metrics.confusion(_judged(spark, sf_dir)), CONFUSION)
+
+
+@registered
+def stream_score_index(spark, sf_dir):
+    _, _, points, centroids = _index(spark, sf_dir, iterations=1, spread=False)
+    path, source, target, marks = (new_folder(spark, x) for x in ("index", "requests", "scores", "stream"))
+    index.write(points, centroids, path)
+    _payloads(spark, sf_dir).where("request_id % 20 = 0").repartition(2).write.parquet(source)
+    scorer.start_over_index(spark, source, target, marks, path).awaitTermination()
+    return spark.read.parquet(target).drop("batch")
