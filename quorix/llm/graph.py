@@ -10,11 +10,15 @@ from . import common
 
 #: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this number.
 HOT = 1000
+#: So many keys at most are broadcast as a whole.
+SMALL = 50_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -> DataFrame:
     """left joined with right, which has one row a key and in column `n` how many of the `rows` rows of left have it. The
-    few hot keys are broadcast, so that their rows stay where they lie."""
+    few hot keys are broadcast, so that their rows stay where they lie; so are all keys if `rows` bounds them."""
+    if rows <= SMALL:
+        return left.join(F.broadcast(right.drop(n)), key)
     hot, cold = right.where(F.col(n) > rows // HOT).drop(n), right.where(F.col(n) <= rows // HOT).drop(n)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
     return left.join(F.broadcast(hot), key).unionByName(rest)
