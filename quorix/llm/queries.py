@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quorix.session import ship
 
-from . import chunks, decontaminate, jaccard, katz, licenses, mixing, rules, suffixes, tokens, warc
+from . import chunks, decontaminate, jaccard, katz, licenses, mixing, oracles, rules, suffixes, tokens, warc
 
 
 def _shipped(query):
@@ -25,7 +25,10 @@ QUERIES = {name: _shipped(query) for name, query in {
 }.items()}
 
 ORACLES = {
+    "op4_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op5_quality_rules": rules.SQL,
     "op6_mix_sources": mixing.SQL,
+    "op7_license_scan": oracles.LICENSE_SCAN,
     "op9_warc_revisits": warc.SQL,
+    "op10_jaccard_join": oracles.JACCARD_JOIN,
 }
