@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of a text and cuts where it is small, so an insertion moves the cuts near it
 and no others. The chunks' digests are compared over the whole table: documents lie in blocks, a block sends its
 distinct digests with their first document to hash buckets, and a bucket answers which of them an earlier document
-has. A chunk that appeared earlier (smaller id, or same text further left) is a repeat; runs of repeats of
-`least_run` bytes or more are removed; the query removes all, so of exact copies one stays, however short. A very common chunk is one row of a block however often it appears.
+has. A chunk that appeared earlier (smaller id, or same text further left) is a repeat. Runs of repeats of `least_run`
+bytes or more are removed, and runs that are a whole text, so of exact copies one stays, however short; shorter runs
+are phrases that texts share by chance. A very common chunk is one row of a block however often it appears.
 
 Chunks are equal if their 128-bit blake2b digests are.
 
@@ -24,6 +25,8 @@ from . import common
 from .blocks import MAIL, bucket_slices, deal, in_order, mail, planes, unplanes
 
 LEAST, MEAN_REST, MOST = 32, 32, 512
+#: A chunk's mean length; a run of repeats must have it, or be the whole text.
+LEAST_RUN = LEAST + MEAN_REST
 _GEAR = (common.byte_table(77) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -124,8 +127,8 @@ def _finish(chunks: Chunks, codes: np.ndarray, least_run: int) -> pa.Table:
         a, b = upto[i], upto[i + 1]
         edges = np.flatnonzero(np.diff(np.r_[False, again[a:b], False]))
         spans = [(int(chunks.first[a + x]), int(chunks.last[a + y - 1])) for x, y in zip(edges[::2], edges[1::2], strict=True)]
-        spans = [s for s in spans if s[1] - s[0] >= least_run]
         start, end = int(chunks.offsets[i]), int(chunks.offsets[i + 1])
+        spans = [s for s in spans if s[1] - s[0] >= least_run or s == (start, end)]
         kept, at = hashlib.sha256(), start
         for x, y in spans:
             kept.update(chunks.data[at:x].tobytes())
@@ -138,7 +141,7 @@ def _finish(chunks: Chunks, codes: np.ndarray, least_run: int) -> pa.Table:
     return pa.table([pa.array(chunks.ids if not chunks.table[0].null_count else chunks.table[0].cast(pa.int64()).to_pylist(), pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_chunks", "n_dup_chunks", "n_removed", "spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, least_run: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least_run: int = LEAST_RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_dup_chunks, n_removed, spans (removed, in bytes) and kept_sha256 of every row."""
     dealt, blocks = deal(docs.select(common.named(doc_id).alias("doc_id"), common.named(text).alias("text")), "doc_id", "text")
 
@@ -160,4 +163,4 @@ def dedup(docs: DataFrame, least_run: int = 100, doc_id: str = "doc_id", text: s
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_run=1)
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

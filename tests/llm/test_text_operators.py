@@ -89,9 +89,7 @@ def brute_chunks(data):
     return chunks.cut_text(marks, 0, len(data))
 
 
-def test_chunks_cover_texts_and_find_repeats(docs, rows):
-    got = chunks.dedup(docs).collect()
-    assert len(got) == len(rows)
+def brute_dedup(rows, least_run):
     seen, want = set(), []
     for key, text in sorted(((r[0] if r[0] is not None else 1 << 62, r[1] or "") for r in rows), key=lambda x: (x[0], x[1].encode())):
         data = text.encode()
@@ -106,14 +104,27 @@ def test_chunks_cover_texts_and_find_repeats(docs, rows):
             if flag:
                 run.append((a, b))
                 continue
-            if run and run[-1][1] - run[0][0] < 100:
-                kept += data[run[0][0] : run[-1][1]]
-            elif run:
-                removed += run[-1][1] - run[0][0]
+            if run:
+                x, y = run[0][0], run[-1][1]
+                if y - x >= least_run or y - x == len(data):
+                    removed += y - x
+                else:
+                    kept += data[x:y]
             run = []
             kept += data[a:b]
         want.append((None if key == 1 << 62 else key, len(data), len(flags), sum(f for f, _, _ in flags), removed, hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_bytes, r.n_chunks, r.n_dup_chunks, r.n_removed, r.kept_sha256)) for r in got)
+    return sorted(map(repr, want))
+
+
+def digest_rows(found):
+    return sorted(repr((r.doc_id, r.n_bytes, r.n_chunks, r.n_dup_chunks, r.n_removed, r.kept_sha256)) for r in found)
+
+
+@pytest.mark.parametrize("least_run", [1, 100])
+def test_chunks_cover_texts_and_find_repeats(docs, rows, least_run):
+    got = chunks.dedup(docs, least_run).collect()
+    assert len(got) == len(rows)
+    assert digest_rows(got) == brute_dedup(rows, least_run)
     assert any(r.n_removed for r in got)
 
 
@@ -125,22 +136,26 @@ def test_chunk_cuts_survive_an_insertion():
     assert len(before - after) <= 8
 
 
-def test_chunk_query_removes_every_repeat(spark, rows):
+def test_chunk_query_keeps_short_phrases_and_no_copy(spark, rows):
     rows = [(r[0], r[1]) for r in rows] + [(900, "a text of a few words"), (901, "a text of a few words")]
     folder = new_folder(spark, "chunk-test")
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{folder}/documents.parquet")
-    got = sorted(repr((r.doc_id, r.n_removed, r.kept_sha256)) for r in chunks.query(spark, folder).collect())
-    seen, want, short = set(), [], 0
-    for key, text in sorted(((r[0] if r[0] is not None else 1 << 62, r[1] or "") for r in rows), key=lambda x: (x[0], x[1].encode())):
-        data, begin, kept = text.encode(), 0, b""
-        for end in brute_chunks(data):
-            if data[begin:end] not in seen:
-                kept += data[begin:end]
-            seen.add(data[begin:end])
-            begin = end
-        short += 0 < len(data) < 100 and not kept
-        want.append(repr((None if key == 1 << 62 else key, len(data) - len(kept), hashlib.sha256(kept).hexdigest())))
-    assert got == sorted(want) and short
+    found = chunks.query(spark, folder).collect()
+    assert digest_rows(found) == brute_dedup(rows, chunks.LEAST_RUN)
+    assert {r.doc_id: r.n_removed for r in found}[901] == 21
+
+
+def test_a_run_counts_if_long_or_the_whole_text(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000)).encode()
+    ends = brute_chunks(text)
+    a, b = next((x, y) for x, y in zip(ends, ends[1:], strict=False) if chunks.LEAST <= y - x < chunks.LEAST_RUN)
+    c = next(y for y in ends if y >= a + 3 * chunks.LEAST_RUN)
+    whole = text[a:b].decode()
+    rows = [(1, text.decode()), (2, "x" * 40 + whole + "y" * 300), (3, text[a:c].decode()), (4, whole), (5, whole)]
+    got = {r.doc_id: r for r in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert digest_rows(got.values()) == brute_dedup(rows, chunks.LEAST_RUN)
+    assert got[5].n_removed == len(whole) and got[3].n_removed >= chunks.LEAST_RUN
 
 
 # --- op2 ---------------------------------------------------------------------------------------
