@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorix.functions import features
-from quorix.operators import index, search
+from quorix.operators import cells, index, search
 from quorix.plans import queries
 from quorix.plans.queries import _payloads
 from quorix.session import new_folder
@@ -183,3 +183,42 @@ def test_bounds_of_parameters(pair):
     refs, queries = pair
     assert search.search_coarse(refs, queries, 1).groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
     assert search.bounded(1000, search.SHORTLIST) == 64 and search.bounded(0, search.PROBES) == 1 and search.bounded(600, search.PROBES) == 512
+
+
+def test_groups_without_queries(spark):
+    # Every second key has references and no query, every third a query and no reference.
+    refs = spark.range(600).select(F.col("id").alias("ref_id"), F.lit(False).alias("fraud"), (F.col("id") % 12).cast("int").alias("bucket"), (F.col("id") * 37 % 101).cast("int").alias("q0"))
+    asked = refs.where("bucket % 2 = 0 and ref_id % 20 = 0").drop("fraud").withColumnRenamed("ref_id", "query_id")
+    lone = asked.limit(1).select(F.lit(9001).cast("long").alias("query_id"), F.lit(77).alias("bucket"), "q0")
+    found = search.nearest(refs, asked.unionByName(lone), ["q0"], 5, keys=["bucket"], slice_rows=3, ref_rows=40)
+    assert listed(found) == brute(refs, asked, ["q0"], 5, True)
+
+
+def test_full_search_of_many_queries_goes_through_buckets(pair):
+    refs, queries = pair
+    wide = refs.where("bucket in (0, 3, 13) or ref_id < 60")  # small buckets look elsewhere
+    asked = wide.where("ref_id % 3 = 0").withColumnRenamed("ref_id", "query_id")
+    got = search.nearest(wide, asked, search.FULL, 5, slice_rows=7, near="bucket")
+    assert listed(got) == brute(wide, asked, search.FULL, 5, False)
+
+
+@pytest.mark.parametrize(("n", "k", "most"), [(4000, 5, 10000), (3000, 17, 127), (2000, 6, 1), (3, 5, 4), (1, 1, 2)])
+def test_cells_find_what_a_sort_finds(n, k, most):
+    r = np.random.default_rng(n)
+    points, asked = (r.integers(-most, most + 1, (m, 7)).astype(float) for m in (n, 300))
+    d = ((asked[:, None] - points[None]) ** 2).sum(2).astype(np.int64)
+    order = np.lexsort((np.broadcast_to(np.arange(n), d.shape), d), axis=1)[:, :k]
+    place, near = cells.nearest(asked, points, k)
+    m = min(n, k)
+    assert (place[:, :m] == order).all() and (near[:, :m] == np.take_along_axis(d, order, 1)).all() and (place[:, m:] == -1).all()
+
+
+def test_blocked_join_of_one_table(spark):
+    # References and queries of one checkpoint, as the registered queries have them.
+    refs, asked = queries._pair(spark, SF)
+    for keys, dims in (((), search.FULL), (("bucket",), search.STORED)):
+        found = search.nearest(refs, asked, dims, 5, keys=keys, slice_rows=3, ref_rows=40)
+        want = brute(refs, asked, dims, 5, bool(keys))
+        assert listed(found) == want
+        # A vote reads some of the columns only.
+        assert {r.query_id: r.found for r in search.vote(asked, found).collect()} == {q: len(n) for q, n in want.items()}
