@@ -222,3 +222,14 @@ def test_blocked_join_of_one_table(spark):
         assert listed(found) == want
         # A vote reads some of the columns only.
         assert {r.query_id: r.found for r in search.vote(asked, found).collect()} == {q: len(n) for q, n in want.items()}
+
+
+def test_groups_of_clusters_are_bounded(pair):
+    # A group's queries grow neither with the probes nor with the queries, and slices give the same.
+    refs, asked = pair
+    points, centroids = index.build(refs, target=20, iterations=1, spread=False)
+    points = points.checkpoint()
+    plain = search.search_clusters(points, centroids, asked, 192, 64)
+    sliced = search.search_clusters(points, centroids, asked, 192, 64, slice_rows=5, ref_rows=40)
+    whole = lambda df: sorted(map(tuple, df.select("query_id", "ref_id", "d2", "rn").collect()))
+    assert whole(plain) == whole(sliced) and len(whole(plain)) > 100
