@@ -233,3 +233,47 @@ def test_groups_of_clusters_are_bounded(pair):
     sliced = search.search_clusters(points, centroids, asked, 192, 64, slice_rows=5, ref_rows=40)
     whole = lambda df: sorted(map(tuple, df.select("query_id", "ref_id", "d2", "rn").collect()))
     assert whole(plain) == whole(sliced) and len(whole(plain)) > 100
+
+
+def test_only_large_keys_are_cut(pair):
+    # A key of one part is searched once; before, all keys had as many parts as the largest.
+    refs, asked = pair
+    parts = {r.bucket: r._parts for r in search.with_parts(refs, refs, ["bucket"], 40, 1).collect()}
+    counts = {r.bucket: r["count"] for r in refs.groupBy("bucket").count().collect()}
+    assert parts == {b: -(-n // 40) for b, n in counts.items()} and min(parts.values()) < max(parts.values())
+    found = search.nearest(refs, asked, search.STORED, 5, keys=["bucket"], slice_rows=3, ref_rows=40)
+    want = brute(refs, asked, search.STORED, 5, True)
+    assert listed(found) == {q: n for q, n in want.items() if n}
+
+
+def test_cells_of_far_apart_and_equal_rows():
+    # Equal rows, coordinates that hardly vary and numbers that 32 bits cannot hold.
+    r = np.random.default_rng(5)
+    points = np.c_[r.integers(0, 2, 3000) * 5_000_000, r.integers(0, 3, 3000), r.integers(0, 40, 3000) * 100, np.full(3000, 7)].astype(float)
+    asked = points[::7] + r.integers(-1, 2, (len(points[::7]), 4))
+    d = ((asked[:, None] - points[None]) ** 2).sum(2).astype(np.int64)
+    order = np.lexsort((np.broadcast_to(np.arange(3000), d.shape), d), axis=1)[:, :9]
+    place, near = cells.nearest(asked, points, 9)
+    assert (place == order).all() and (near == np.take_along_axis(d, order, 1)).all()
+
+
+def test_assignment_from_an_earlier_centre():
+    r = np.random.default_rng(3)
+    points, asked = (r.integers(0, most, (n, 5)).astype(float) for n, most in ((500, 30), (4000, 30)))
+    points[1::9] = points[::9][: len(points[1::9])]  # equal centres: the lowest counts
+    place, d = cells.nearest(asked, points, 1)
+    for start in (place[:, 0], r.integers(0, 500, 4000), np.zeros(4000, int)):
+        got, near = cells.nearest_from(asked, points, start)
+        assert (got == place[:, 0]).all() and (near == d[:, 0]).all()
+
+
+def test_a_build_starts_from_earlier_centres(pair, monkeypatch):
+    refs, _ = pair
+    listed_ = lambda built: [sorted(map(tuple, df.select(*names).collect())) for df, names in zip(built, (["ref_id", "cluster_id"], ["bucket", "cluster_id", *search.STORED]), strict=True)]
+    kept = listed_(index.build(refs, target=20, iterations=5))
+    monkeypatch.setattr(index, "KEPT", ())
+    assert kept == listed_(index.build(refs, target=20, iterations=5))
+    seeds = index.strided_seeds(refs, 20)
+    cold = index.assign(refs, seeds)
+    warm = index.assign(refs.withColumn(index.LAST, F.col("ref_id") % 3), seeds)
+    assert sorted(cold.columns) == sorted(warm.columns) and {tuple(x) for x in cold.select("ref_id", "cluster_id", "d").collect()} == {tuple(x) for x in warm.select("ref_id", "cluster_id", "d").collect()}
