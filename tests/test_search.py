@@ -277,3 +277,16 @@ def test_a_build_starts_from_earlier_centres(pair, monkeypatch):
     cold = index.assign(refs, seeds)
     warm = index.assign(refs.withColumn(index.LAST, F.col("ref_id") % 3), seeds)
     assert sorted(cold.columns) == sorted(warm.columns) and {tuple(x) for x in cold.select("ref_id", "cluster_id", "d").collect()} == {tuple(x) for x in warm.select("ref_id", "cluster_id", "d").collect()}
+
+
+def test_a_far_start_holds_no_matrix_of_all_pairs():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    points, asked = (r.integers(0, 10000, (n, 6)).astype(float) for n in (4000, 20000))
+    tracemalloc.start()
+    got, near = cells.nearest_from(asked, points, np.zeros(20000, int))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place, d = cells.nearest(asked, points, 1)
+    assert (got == place[:, 0]).all() and (near == d[:, 0]).all() and peak < 250_000_000
