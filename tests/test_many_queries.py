@@ -9,7 +9,7 @@ from test_catalogue import SF, rows
 from quorix.operators import search
 from quorix.plans import catalogue
 
-BLOCKED = ("confusion_matrix", "knn_full_exact", "knn_neighbors", "recall_ivf")
+BLOCKED = ("confusion_matrix", "detection_score", "knn_full_exact", "knn_neighbors", "recall_ivf")
 
 
 @pytest.mark.parametrize("name", BLOCKED)
