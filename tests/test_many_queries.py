@@ -9,7 +9,7 @@ from test_catalogue import SF, rows
 from quorix.operators import search
 from quorix.plans import catalogue
 
-BLOCKED = ("confusion_matrix", "detection_score", "knn_full_exact", "knn_neighbors", "metrics_by_name", "recall_ivf", "result_report", "weighted_errors")
+BLOCKED = ("confusion_matrix", "detection_score", "final_score", "knn_full_exact", "knn_neighbors", "metrics_by_name", "recall_ivf", "result_report", "weighted_errors")
 
 
 @pytest.mark.parametrize("name", BLOCKED)
