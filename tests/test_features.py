@@ -1,5 +1,6 @@
 """Golden feature rows, half points, edges of the parser and scores."""
 
+import datetime
 import json
 import math
 
@@ -104,3 +105,15 @@ def test_rank_percentiles_use_floor_places(spark):
     r = metrics.rank_percentiles(df, "v").first()
     assert (r.n, r.p50, r.p90, r.p99, r.p99_9, r.max) == (1000, 501.0, 901.0, 991.0, 1000.0, 1000.0)
     assert metrics.interpolated_percentiles(df, "v", (0.99,)).first().p99 == pytest.approx(990.01)
+
+
+def test_average_of_a_customer_adds_in_order_of_time(spark, tmp_path):
+    """Added in this order the average lies half-way between two cents or above, added backwards just below."""
+    values = [45.9, 3.74, 23.5, 18.37, 58.28, 85.38, 79.25, 79.12]
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, i), 1, "view", v, '{"k": 1}') for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    r = fixtures.requests(spark, str(tmp_path))
+    # Alone, and beside columns whose windows are sorted.
+    assert {x.cust_avg for x in r.select("cust_avg").collect()} == {491.93}
+    assert {x.cust_avg for x in fixtures.to_vectors(r).collect()} == {491.93}
